@@ -12,7 +12,7 @@ repeated, once a salt.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +77,15 @@ def as_known_join(events: DataFrame, versions: DataFrame, entity: str, event_tim
     left = wanted.join(counted, "entity").select("entity", F.pmod(F.xxhash64("event", "known"), F.col("salts")).cast("int").alias("salt"), "event", "known")
     right = kept.join(counted, "entity").select("entity", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "valid", "recorded", "version")
 
-    def look(e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(e) or not len(v):
-            return pd.DataFrame({"entity": [], "event": [], "known": [], "version": []})
-        v = v.sort_values(["valid", "recorded", "version"])
-        at = latest_known(v["valid"].to_numpy(), v["recorded"].to_numpy(), e["event"].to_numpy(), e["known"].to_numpy())
-        hit = at >= 0
-        return pd.DataFrame({"entity": e["entity"].to_numpy()[hit], "event": e["event"].to_numpy()[hit], "known": e["known"].to_numpy()[hit], "version": v["version"].to_numpy()[at[hit]]})
+    def look(e: pa.Table, v: pa.Table) -> pa.Table:
+        v = v.sort_by([("valid", "ascending"), ("recorded", "ascending"), ("version", "ascending")])
+        column = lambda t, name: t.column(name).to_numpy()
+        at = latest_known(column(v, "valid"), column(v, "recorded"), column(e, "event"), column(e, "known")) if len(e) and len(v) else np.full(len(e), -1)
+        hit = np.flatnonzero(at >= 0)
+        rows = e.select(["entity", "event", "known"]).take(pa.array(hit))
+        return rows.append_column("version", v.column("version").take(pa.array(at[hit])))
 
-    found = left.groupBy("entity", "salt").cogroup(right.groupBy("entity", "salt")).applyInPandas(look, f"entity {entity_type}, event int, known int, version {version_type}")
+    schema = f"entity {entity_type}, event int, known int, version {version_type}"
+    found = left.groupBy("entity", "salt").cogroup(right.groupBy("entity", "salt")).applyInArrow(look, schema)
     day = lambda c: F.date_add(F.lit("1970-01-01").cast("date"), F.col(c))
     return found.select(F.col("entity").alias(entity), day("event").alias(event_time), day("known").alias(known_time), F.col("version").alias(version_id))
