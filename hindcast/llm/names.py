@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm.components import connected_components
-from hindcast.runtime import Scratch
+from hindcast.runtime import Scratch, shuffle_partitions
 
 #: Least similarity of two tokens that may be one name.
 SIMILAR = 0.85
@@ -58,7 +58,6 @@ def with_loss(code: str) -> set[str]:
     return {code} | ({code[:i] + code[i + 1 :] for i in range(len(code))} if len(code) > 3 else set())
 
 
-@functools.lru_cache(200_000)
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -99,8 +98,9 @@ def one_slip(a: str, b: str) -> bool:
     return len(x) <= 1 and len(y) <= 1 or len(x) == 2 and x == y[::-1]
 
 
+@functools.lru_cache(400_000)
 def similar(a: str, b: str) -> bool:
-    return a == b or min(len(a), len(b)) > 3 and jaro_winkler(a, b) >= SIMILAR and one_slip(a, b)
+    return a == b or min(len(a), len(b)) > 3 and abs(len(a) - len(b)) < 2 and one_slip(a, b) and jaro_winkler(a, b) >= SIMILAR
 
 
 def title_of(token: str) -> str:
@@ -162,12 +162,13 @@ def spelling(text: str) -> Spelling:
     return Spelling(text)
 
 
-def acronyms(name: str, known: tuple[str, ...]) -> set[str]:
+@functools.lru_cache(20_000)
+def acronyms(name: str, known: str) -> set[str]:
     words = [w for w in plain(name).lower().replace("'", "").split() if w not in FILLERS]
-    return {"".join(w[0] for w in words)} | {k.replace(".", "").lower() for k in known}
+    return {"".join(w[0] for w in words)} | {k.replace(".", "").lower() for k in known.split("|") if k}
 
 
-def reference_keys(name: str, kind: str, known: tuple[str, ...]) -> set[str]:
+def reference_keys(name: str, kind: str, known: str) -> set[str]:
     words = plain(name).lower().split()
     if kind == "person":
         return {"p" + code for code in with_loss(phonetic(words[-1]))} | {f"g{phonetic(words[0])} {words[-1][0]}"}
@@ -186,11 +187,23 @@ def short_for(word: str, full: str) -> bool:
     return at == len(letters) and (word.endswith(".") or letters[-1] == full[-1] and ("'" in word or "’" in word or len(letters) <= 4))
 
 
-def fits_organisation(said: Spelling, name: str, known: tuple[str, ...]) -> int:
+@functools.lru_cache(20_000)
+def words_of(name: str) -> tuple[str, ...]:
+    return tuple(plain(name).lower().split())
+
+
+@functools.lru_cache(20_000)
+def nicks_of(known: str) -> frozenset[str]:
+    return frozenset(plain(known).lower().split("|")) - {""}
+
+
+def fits_organisation(said: Spelling, name: str, known: str) -> int:
     if said.acronym and said.acronym in acronyms(name, known):
         return 3
     left = [w for w in said.words if w not in FILLERS]
-    for full in (w for w in plain(name).lower().split() if w not in FILLERS):
+    for full in words_of(name):
+        if full in FILLERS:
+            continue
         hit = next((w for w in left if w.rstrip(".") == full), None) or next((w for w in left if similar(w.rstrip("."), full) or short_for(w, full)), None)
         if hit is None:
             return 0
@@ -203,11 +216,11 @@ def diminutive(nick: str, first: str) -> bool:
     return any(len(stem) >= 3 and first.startswith(stem) for stem in ({nick, nick[:-1]} | ({nick[:-2]} if nick.endswith("ek") else set()))) and len(nick) < len(first)
 
 
-def fits_person(said: Spelling, name: str, role: str, nicks: set[str]) -> tuple[int, bool, str]:
+def fits_person(said: Spelling, name: str, role: str, known: str) -> tuple[int, bool, str | None]:
     """How well a spelling fits a person (0: not), whether by the exact surname, and the nickname it adds to a full name."""
-    words = plain(name).lower().split()
+    words = words_of(name)
     first, middle, last = words[0], words[1:-1], words[-1]
-    best, exact = 0, False
+    best, exact, nicks = 0, False, nicks_of(known)
     for given, surname in said.readings:
         if not similar(surname, last):
             continue
@@ -237,7 +250,7 @@ def fits_person(said: Spelling, name: str, role: str, nicks: set[str]) -> tuple[
                 rank = 3
         best = max(best, rank - (surname != last) * 0.5 if rank else 0)
     best = int(best * 2)
-    adds = said.nick if best >= 9 and said.nick else ""
+    adds = said.nick if best >= 9 and said.nick else None
     return best, exact, adds
 
 
@@ -246,22 +259,20 @@ def judged_pairs(pairs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out: dict[str, list] = {k: [] for k in ("form", "actor_id", "fit", "exact", "nick")}
-            for r in rows:
-                said = spelling(r["form"])
-                known = tuple(plain(k).lower() for k in r["known_as"] or () if k)
-                if r["kind"] == "person":
-                    fit, exact, nick = fits_person(said, r["name"], (r["role"] or "").lower(), set(known))
-                else:
-                    fit, exact, nick = 2 * fits_organisation(said, r["name"], known), True, ""
-                if fit or exact and r["kind"] == "person":
-                    for k, v in zip(out, (r["form"], r["actor_id"], fit, exact, nick or None)):
-                        out[k].append(v)
+            out: list[tuple] = []
+            for form, actor_id, name, kind, role, known in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == "person":
+                    fit, exact, nick = fits_person(spelling(form), name, role, known)
+                    if fit or exact:
+                        out.append((form, actor_id, fit, exact, nick))
+                elif fit := fits_organisation(spelling(form), name, known):
+                    out.append((form, actor_id, 2 * fit, True, None))
+            columns = list(zip(*out)) or [()] * 5
             kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds)], names=["form", "actor_id", "fit", "exact", "nick"])
 
-    return pairs.select("form", "actor_id", "name", "kind", "role", "known_as").mapInArrow(run, "form string, actor_id string, fit int, exact boolean, nick string")
+    known = F.array_join(F.coalesce("known_as", F.array().cast("array<string>")), "|").alias("known")
+    return pairs.select("form", "actor_id", "name", "kind", F.lower(F.coalesce("role", F.lit(""))).alias("role"), known).mapInArrow(run, "form string, actor_id string, fit int, exact boolean, nick string")
 
 
 def keyed(df: DataFrame, columns: list[str], of) -> DataFrame:
@@ -285,7 +296,7 @@ def best_fits(judged: DataFrame) -> DataFrame:
     """Of each spelling the actors that fit best; none by a similar surname where its surname is somebody's exactly."""
     by_form = Window.partitionBy("form")
     marked = judged.withColumn("known_surname", F.max("exact").over(by_form)).filter("fit > 0 and (exact or not known_surname)")
-    return marked.withColumn("top", F.max("fit").over(by_form)).filter("fit = top").withColumn("n_fit", F.count(F.lit(1)).over(by_form)).select("form", "actor_id", "fit", "nick", "n_fit")
+    return marked.withColumn("top", F.max("fit").over(by_form)).filter("fit = top").withColumn("n_fit", F.count(F.lit(1)).over(by_form)).select("form", "actor_id", "fit", "n_fit")
 
 
 def linked_speakers(events: DataFrame, actors: DataFrame) -> DataFrame:
@@ -302,17 +313,19 @@ def linked_speakers(events: DataFrame, actors: DataFrame) -> DataFrame:
         .filter("record_id is not null and length(trim(form)) > 0")
         .join(people.select(F.col("name").alias("form")).distinct(), "form", "left_anti")
     )
-    forms = scratch.keep(keyed(quotes.select("form").distinct(), ["form"], lambda r: spelling(r["form"]).keys()))
-    names = lambda p: keyed(p, ["actor_id", "name", "kind", "role", "known_as"], lambda r: reference_keys(r["name"], r["kind"], tuple(k for k in r["known_as"] or () if k)))
+    parts = shuffle_partitions(events.sparkSession)
+    forms = scratch.keep(keyed(quotes.select("form").distinct().repartition(parts, "form"), ["form"], lambda r: spelling(r["form"]).keys()))
+    names = lambda p: keyed(p, ["actor_id", "name", "kind", "known_as"], lambda r: reference_keys(r["name"], r["kind"], "|".join(k for k in r["known_as"] or () if k)))
 
-    def match(p: DataFrame) -> DataFrame:
-        return judged_pairs(forms.join(names(p), "key").drop("key").dropDuplicates(["form", "actor_id"]))
+    def match(f: DataFrame, p: DataFrame) -> DataFrame:
+        pairs = f.join(names(p).select("key", "actor_id"), "key").select("form", "actor_id").distinct()
+        return judged_pairs(pairs.join(p, "actor_id"))
 
-    first = scratch.keep(match(people))
+    first = scratch.keep(match(forms, people))
     told = first.filter("nick is not null").groupBy("actor_id").agg(F.collect_set("nick").alias("told"))
     taught = people.join(told, "actor_id").withColumn("known_as", F.array_distinct(F.concat(F.coalesce("known_as", F.array().cast("array<string>")), "told"))).drop("told")
-    second = match(taught)
-    both = first.unionByName(second).groupBy("form", "actor_id").agg(F.max("fit").alias("fit"), F.max("exact").alias("exact"), F.max("nick").alias("nick"))
+    second = match(forms.join(first.filter("fit > 0").select("form").distinct(), "form", "left_anti"), taught)
+    both = first.unionByName(second).groupBy("form", "actor_id").agg(F.max("fit").alias("fit"), F.max("exact").alias("exact"))
     fits = scratch.keep(best_fits(both))
 
     sure = fits.filter("n_fit = 1").select(F.concat(F.lit("1 "), "form").alias("a"), F.concat(F.lit("0 "), "actor_id").alias("b"))
