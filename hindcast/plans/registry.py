@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.plans import known
+from hindcast.plans import known, questions, retrieval, scoring
 
-MODULES: tuple = ()
+MODULES = (retrieval, scoring, questions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
