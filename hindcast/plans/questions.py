@@ -160,7 +160,7 @@ RERANK = """WITH h AS (SELECT DISTINCT request_id, record_id, hit_rank, CASE WHE
     p AS (SELECT request_id, record_id, priority, row_number() OVER (PARTITION BY request_id ORDER BY priority, hit_rank, record_id) AS place FROM h WHERE priority IS NOT NULL) SELECT * FROM p WHERE place <= 12"""
 
 
-def title_edges(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
+def title_edges(spark: SparkSession, d: str, least: float = 0.6) -> DataFrame:
     """Pairs of different titles that share at least ``least`` of the words of the longer one.
 
     Prefix filter: with words in order of rarity, such titles share one of each other's first words, so only those are join
@@ -181,8 +181,8 @@ def title_edges(spark: SparkSession, d: str, least: float = 0.8) -> DataFrame:
 
 
 TITLE_EDGES = f"""WITH {Q}, t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[ \\t\\r\\n]+'), lambda w: w <> ''))) AS w FROM qq WHERE length(trim(title)) > 0),
-    u AS (SELECT w, array_to_string(w, ' ') AS s, len(w) AS n FROM t), p AS (SELECT x.s AS words_a, z.s AS words_b, len(list_intersect(x.w, z.w)) / greatest(x.n, z.n) AS share FROM u x JOIN u z ON x.s < z.s AND least(x.n, z.n) >= 0.79 * greatest(x.n, z.n))
-    SELECT words_a, words_b, round(share, 6) AS share FROM p WHERE share >= 0.8 - 1e-9"""
+    u AS (SELECT w, array_to_string(w, ' ') AS s, len(w) AS n FROM t), p AS (SELECT x.s AS words_a, z.s AS words_b, len(list_intersect(x.w, z.w)) / greatest(x.n, z.n) AS share FROM u x JOIN u z ON x.s < z.s AND least(x.n, z.n) >= 0.59 * greatest(x.n, z.n))
+    SELECT words_a, words_b, round(share, 6) AS share FROM p WHERE share >= 0.6 - 1e-9"""
 
 
 def date_vote(spark: SparkSession, d: str) -> DataFrame:
