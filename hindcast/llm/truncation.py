@@ -92,9 +92,10 @@ def open_prose(text: str) -> bool:
 
     Brackets that open inside a sentence are often slips of whole texts; the baseline judges those.
     """
-    *_, (last, ended) = [("", True), *sentences(text)]
-    if ended or last[-1:] in CLOSING:
+    line = text[text.rfind("\n") + 1 :].strip()
+    if not line or line[-1] in CLOSING or TERMINATED.search(line[-9:]):
         return False
+    last = SENTENCE.split(line)[-1]
     stack: list[tuple[str, int]] = []
     for found in PROSE_SIGNS.finditer(last):
         sign = found[0]
@@ -117,12 +118,10 @@ def prose_of(text: str) -> tuple[bool, str]:
         return True, ""
     if "{" in text and open_object(text):
         return True, ""
-    field = STRING_FIELD.search(text)
-    if field:
-        return False, unescape(field[1])
-    head = HEADLESS.match(text)
-    if head:
-        return False, unescape(head[1])
+    if '"' in text:
+        field = STRING_FIELD.search(text) or HEADLESS.match(text)
+        if field:
+            return False, unescape(field[1])
     return False, "" if fenced or stripped[:1] == "{" else text
 
 
@@ -135,7 +134,7 @@ def sentences(prose: str) -> Iterator[tuple[str, bool]]:
             for part in parts[:-1]:
                 yield part, True
             if parts[-1]:
-                yield parts[-1], bool(TERMINATED.search(parts[-1]))
+                yield parts[-1], bool(TERMINATED.search(parts[-1][-9:]))
 
 
 def tokens(sentence: str) -> list[str]:
@@ -172,7 +171,7 @@ def lost(text: str) -> tuple[bool, str]:
     if cut or not prose:
         return cut, ""
     last = prose.rstrip("\n\r")
-    cut = bool(MARK.search(last) or BROKEN.search(last) or last[-1:].isspace() or open_prose(last))
+    cut = bool(MARK.search(last[-40:]) or BROKEN.search(last[-9:]) or last[-1:].isspace() or open_prose(last))
     return cut, "" if cut else prose
 
 
@@ -252,11 +251,12 @@ def judged(texts: DataFrame, common: frozenset[str]) -> DataFrame:
                 ask = []
                 if not cut and prose:
                     lines = [x for x in prose.split("\n") if x.strip()]
-                    for line in lines[-3:] if lines else []:
-                        *_, (last, ended) = sentences(line)
-                        if not ended or last[-2:-1].isdigit():
+                    for line in map(str.strip, lines[-3:]):
+                        ended = bool(TERMINATED.search(line[-9:]))
+                        if not ended or line[-2:-1].isdigit():
+                            last = SENTENCE.split(line)[-1]
                             parts = tokens(last)
-                            if len(lines) > 1 or len(TOKEN.split(line.strip())) > PHRASE:
+                            if len(lines) > 1 or len(TOKEN.split(line)) > PHRASE:
                                 shape = list(map(kinds.__getitem__, parts))
                                 word = (WORD.findall(parts[-1].lower()) or [None])[-1] if "_" in shape[-1] else None
                                 least = 0 if shape[-1][-1:] == "%" else BRANCH if "_" in shape[-1] or shape[-1][-1:] == "#" else BRANCH_COMMON
