@@ -28,15 +28,15 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def with_vectors(spark: SparkSession, d: str) -> DataFrame:
-    """Every twentieth request, with the embedding of its best hit as the query vector."""
-    hits = table(spark, d, "retrieval_hits").filter("request_id % 20 = 0").select("request_id", "record_id", "hit_rank").distinct()
+def with_vectors(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+    """Requests whose id is divisible by ``every``, with the embedding of its best hit as the query vector."""
+    hits = table(spark, d, "retrieval_hits").filter(F.col("request_id") % every == 0).select("request_id", "record_id", "hit_rank").distinct()
     vectors = hits.join(events(spark, d).select("record_id", "embedding"), "record_id").groupBy("request_id").agg(F.min_by("embedding", "hit_rank").alias("vector"))
     return requests(spark, d).join(vectors, "request_id")
 
 
-def temporal_topk(spark: SparkSession, d: str) -> DataFrame:
-    return top_k(events(spark, d), with_vectors(spark, d).withColumn("topics", F.array().cast("array<string>")))
+def temporal_topk(spark: SparkSession, d: str, every: int = 20) -> DataFrame:
+    return top_k(events(spark, d), with_vectors(spark, d, every).withColumn("topics", F.array().cast("array<string>")))
 
 
 def topic_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
