@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.runtime import Scratch
+
 #: Letters of other alphabets and symbols that are drawn like a Latin letter (fixed values, in order of the Latin letters).
 DRAWN_LIKE = {
     "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫͿ",
@@ -200,7 +202,7 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null texts and texts without a visible sign are in no pair, exact copies are no pair of each other.  Pairs are made
     between the different strings of a form and then between their documents, so copies of one text never meet.
     """
-    keyed = one_form(df, id_col, text_col, hashed=True).filter("visible").select(id_col, "form_key", "text_key")
+    keyed = Scratch(df.sparkSession).keep(one_form(df, id_col, text_col, hashed=True).filter("visible").select(id_col, "form_key", "text_key"))
     several = keyed.select("form_key", "text_key").distinct().groupBy("form_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("form_key")
     kept = keyed.join(several, "form_key", "left_semi")
     texts = kept.select("form_key", "text_key").distinct()
