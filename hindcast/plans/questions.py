@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import iso_date, r6, words
+from hindcast.operators.overlap import overlap_pairs
 from hindcast.operators.retrieval import one_of_each
 from hindcast.runtime import table
 
@@ -161,23 +162,10 @@ RERANK = """WITH h AS (SELECT DISTINCT request_id, record_id, hit_rank, CASE WHE
 
 
 def title_edges(spark: SparkSession, d: str, least: float = 0.6) -> DataFrame:
-    """Pairs of different titles that share at least ``least`` of the words of the longer one.
-
-    Prefix filter: with words in order of rarity, such titles share one of each other's first words, so only those are join
-    keys; candidates are verified on all words.
-    """
-    titles = questions(spark, d).filter("length(trim(title)) > 0").select(F.array_distinct(words("title")).alias("w")).select(F.array_sort("w").alias("w")).distinct().withColumn("key", F.xxhash64("w"))
-    long = titles.select("key", F.explode("w").alias("word"))
-    df = long.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ordered = long.join(df, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    n = F.size("o")
-    head = ordered.select("key", F.transform(F.slice("o", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1), lambda x: x["word"]).alias("p")).select("key", F.explode("p").alias("word"))
-    pairs = head.alias("x").join(head.alias("z"), (F.col("x.word") == F.col("z.word")) & (F.col("x.key") < F.col("z.key"))).select(F.col("x.key").alias("k1"), F.col("z.key").alias("k2")).distinct()
-    both = pairs.join(titles.select(F.col("key").alias("k1"), F.col("w").alias("w1")), "k1").join(titles.select(F.col("key").alias("k2"), F.col("w").alias("w2")), "k2")
-    share = F.size(F.array_intersect("w1", "w2")) / F.greatest(F.size("w1"), F.size("w2"))
-    found = both.withColumn("share", share).filter(F.col("share") >= least - 1e-9)
-    a, b = F.array_join("w1", " "), F.array_join("w2", " ")
-    return found.select(F.least(a, b).alias("words_a"), F.greatest(a, b).alias("words_b"), r6("share").alias("share"))
+    """Pairs of different titles that share at least ``least`` of the words of the longer one."""
+    titles = questions(spark, d).filter("length(trim(title)) > 0").select(F.array_sort(F.array_distinct(words("title"))).alias("words")).distinct()
+    items = titles.select(F.array_join("words", " ").alias("key"), "words", F.lit(0).alias("here"), F.array(F.lit(0)).alias("near"))
+    return overlap_pairs(items, least).select(F.col("a").alias("words_a"), F.col("b").alias("words_b"), r6("share").alias("share"))
 
 
 TITLE_EDGES = f"""WITH {Q}, t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[ \\t\\r\\n]+'), lambda w: w <> ''))) AS w FROM qq WHERE length(trim(title)) > 0),

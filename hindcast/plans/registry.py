@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.plans import known, ordered, questions, retrieval, scoring
+from hindcast.plans import known, ordered, questions, retrieval, scoring, upkeep
 
-MODULES = (retrieval, scoring, questions, ordered)
+MODULES = (retrieval, scoring, questions, ordered, upkeep)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
