@@ -121,14 +121,16 @@ def pack_windows(sizes: DataFrame, windows: DataFrame, id_col: str = "doc_id", s
     window is in one window whole; a larger one fills windows and leaves a rest.  Documents without a token, with a null size
     or a null id have no row; windows with a null or no capacity take nothing.  A repeated id is placed as often as it is there.
     The number of shards follows the sum of all sizes, so a task holds a bounded number of items at any scale: none takes more
-    than about ``SHARD_WINDOWS`` windows.
+    than about ``SHARD_WINDOWS`` windows.  The models, a few rows, go through the driver; each document is repeated once a model.
     """
     scratch = Scratch(sizes.sparkSession)
     kind = sizes.select(id_col).schema[id_col].dataType.simpleString()
     docs = scratch.keep(sizes.select(F.col(id_col).alias("doc_id"), F.col(size_col).cast("int").alias("size")).filter("doc_id is not null and size > 0"))
     total = docs.agg(F.sum("size")).first()[0] or 0
-    limits = windows.select("model_id", F.col("window_tokens").cast("int").alias("capacity")).filter("model_id is not null and capacity > 0").distinct()
-    each = docs.crossJoin(F.broadcast(limits))
+    limits = windows.select("model_id", F.col("window_tokens").cast("int").alias("capacity")).filter("model_id is not null and capacity > 0").distinct().collect()
+    asked = [F.struct(F.lit(r.model_id).alias("model_id"), F.lit(r.capacity).alias("capacity")) for r in limits]
+    of_all = F.array(*asked) if asked else F.array().cast("array<struct<model_id string, capacity int>>")
+    each = docs.withColumn("w", F.explode(of_all)).select("doc_id", "size", "w.model_id", "w.capacity")
     n_full = F.floor(F.col("size") / F.col("capacity")).cast("int")
     full = each.filter(F.col("size") >= F.col("capacity")).select(
         "model_id", "capacity", "doc_id", F.explode(F.transform(F.sequence(F.lit(0), n_full - 1), lambda i: i * F.col("capacity"))).alias("token_start"), F.col("capacity").alias("token_count")
