@@ -39,3 +39,30 @@ def leader_clusters(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: st
     led = every.join(leaders.withColumnRenamed("id", "lo"), "lo", "left_semi").groupBy("hi").agg(F.min("lo").alias("leader"))
     joined = ids.join(leaders.withColumn("is_leader", F.lit(True)), "id", "left").join(led, ids["id"] == led["hi"], "left")
     return joined.select(ids["id"].alias(node), F.when(F.col("is_leader"), ids["id"]).otherwise(F.col("leader")).alias("leader"))
+
+
+def key_leaders(members: DataFrame, node: str, key: str) -> DataFrame:
+    """``node, leader`` as of ``leader_clusters``, where two nodes match if they share a ``key``.
+
+    No pair is ever built: a node is a leader if it is the least undecided one of each of its keys, and every node that shares
+    a key with a leader is decided.  No two leaders share a key, so each key names one leader, and a node belongs to the least
+    leader of its keys.  Work is linear in the rows of ``members``, whatever the size of a key.  Nodes with only null keys
+    lead themselves; null nodes are left out; repeated rows count once.
+    """
+    scratch = Scratch(members.sparkSession)
+    every = scratch.keep(members.select(F.col(node).alias("id"), F.col(key).alias("key")).filter("id is not null").distinct())
+    ids = every.select("id").distinct()
+    live = keyed = every.filter("key is not null")
+    leaders = ids.join(keyed.select("id"), "id", "left_anti")
+    while not live.isEmpty():
+        marked = live.join(live.groupBy("key").agg(F.min("id").alias("first")), "key")
+        new = scratch.keep(marked.groupBy("id").agg(F.bool_and(F.col("id") == F.col("first")).alias("leads")).filter("leads").select("id"))
+        held = live.join(new, "id", "left_semi").select("key")
+        decided = live.join(held, "key", "left_semi").select("id").distinct()
+        left = scratch.keep(live.join(decided, "id", "left_anti"))
+        scratch.drop(live)
+        live, leaders = left, leaders.unionByName(new)
+    leaders = scratch.keep(leaders)
+    of_key = keyed.join(leaders, "id", "left_semi").select("key", F.col("id").alias("leader"))
+    taken = keyed.join(of_key, "key").groupBy("id").agg(F.min("leader").alias("leader"))
+    return ids.join(taken, "id", "left").select(F.col("id").alias(node), F.coalesce("leader", "id").alias("leader"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hindcast.functions.objects import object_of
 from hindcast.functions.scalars import r6
 from hindcast.operators import scoring as S
-from hindcast.operators.leaders import leader_clusters
+from hindcast.operators.leaders import key_leaders, leader_clusters
 from hindcast.operators.retrieval import one_of_each
 from hindcast.runtime import table
 
@@ -22,9 +22,8 @@ def judged_leaders(spark: SparkSession, d: str) -> DataFrame:
 def event_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Records in order of id, clustered by leaders: the same day, lead actor and a shared topic."""
     e = one_of_each(table(spark, d, "event_records")).select("record_id", "event_date", F.get("actors", F.lit(0)).alias("actor_id"), F.explode_outer("topics").alias("topic"))
-    keyed = e.filter("topic is not null and actor_id is not null").select(F.xxhash64("event_date", "actor_id", "topic").alias("key"), "record_id").distinct()
-    edges = keyed.join(keyed.select("key", F.col("record_id").alias("other")), "key").filter("record_id < other").select("record_id", "other")
-    return leader_clusters(e.select("record_id"), edges, "record_id", "record_id", "other")
+    whole = F.col("event_date").isNotNull() & F.col("actor_id").isNotNull() & F.col("topic").isNotNull()
+    return key_leaders(e.select("record_id", F.when(whole, F.concat_ws("\t", "event_date", "actor_id", "topic")).alias("key")), "record_id", "key")
 
 
 def answer_objects(spark: SparkSession, d: str) -> DataFrame:

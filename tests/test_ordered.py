@@ -3,7 +3,7 @@ import random
 import pytest
 
 from hindcast.functions.objects import first_object
-from hindcast.operators.leaders import leader_clusters
+from hindcast.operators.leaders import key_leaders, leader_clusters
 
 
 def fold(nodes, edges):
@@ -27,6 +27,17 @@ def test_leaders_equal_the_fold(spark, seed):
     assert got == fold(nodes, [p for p in edges if p[0] != p[1] and "gone" not in p])
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_key_leaders_equal_the_fold(spark, seed):
+    rng = random.Random(seed)
+    rows = [(f"n{rng.randrange(40):02}", rng.choice([None, *range(5 + 15 * seed)])) for _ in range(90)]
+    edges = [(x, y) for x, k in rows for y, m in rows if k is not None and k == m and x != y]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)] + [(None, 1, 0)], "id string, k long, first long")
+    got = {r.id: r.leader for r in key_leaders(df, "id", "k").collect()}
+    assert got == fold({x for x, _ in rows}, edges)
+    assert key_leaders(df.limit(0), "id", "k").count() == 0
+
+
 def test_leaders_of_nothing(spark):
     n, e = spark.createDataFrame([], "id string"), spark.createDataFrame([], "a string, b string")
     assert leader_clusters(n, e, "id", "a", "b").count() == 0
