@@ -69,3 +69,16 @@ def test_wilcoxon_brute(spark):
     plus, minus = sum(rank[abs(x)] for x in nz if x > 0), sum(rank[abs(x)] for x in nz if x < 0)
     got = S.wilcoxon(df).first()
     assert (got.n, got.w) == (len(nz), min(plus, minus))
+
+
+def test_upper_median_and_ranks(spark):
+    rng = random.Random(5)
+    groups = {g: [round(rng.uniform(-2, 2), rng.choice([1, 9])) for _ in range(n)] for g, n in (("a", 1), ("b", 40), ("c", 41))}
+    df = spark.createDataFrame([(g, "z", x) for g, v in groups.items() for x in v], "a string, b string, delta double")
+    assert {r.a: r.median for r in S.upper_median(df).collect()} == {g: sorted(v)[len(v) // 2] for g, v in groups.items()}
+    assert S.upper_median(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("z", [0.0, 0.5, -1.96, 4.0])
+def test_two_sided_p(spark, z):
+    assert one(spark, S.normal_two_sided(F.col("z")), z=("double", z)) == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=3e-7)
