@@ -55,8 +55,19 @@ def top_k(events: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def window_counts(events: DataFrame, requests: DataFrame) -> DataFrame:
-    """``request_id, n_in_window, n_quarantined``: counts ignore topic and distance.  Counted per day first, then summed."""
+    """``request_id, n_in_window, n_quarantined``: counts ignore topic and distance.
+
+    Records are counted by day and summed up along the calendar, which is as long as the dates go and doesn't grow with the
+    rows; a request takes the difference of two sums, at its simulation and before its cutoff, however long its window is.
+    Null dates are in no window; a request with a null date or a cutoff after its simulation counts 0.
+    """
     days = events.groupBy("event_date").agg(F.count_if(F.col("date_confidence") != "uncertain").alias("n"), F.count_if(F.col("date_confidence") == "uncertain").alias("q"))
-    spans = requests.filter("cutoff <= simulation").select("request_id", F.explode(F.sequence("cutoff", "simulation")).alias("event_date"))
-    summed = spans.join(days, "event_date").groupBy("request_id").agg(F.sum("n").alias("n"), F.sum("q").alias("q"))
+    ends = days.agg(F.min("event_date").alias("first"), F.max("event_date").alias("last"))
+    calendar = ends.select(F.explode(F.sequence("first", "last")).alias("event_date"))
+    so_far = Window.orderBy("event_date").rowsBetween(Window.unboundedPreceding, 0)
+    sums = calendar.join(days, "event_date", "left").select(F.col("event_date").alias("day"), F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("n"), F.coalesce(F.sum("q").over(so_far), F.lit(0)).alias("q"))
+    spans = requests.filter("cutoff <= simulation").select("request_id", "cutoff", "simulation").crossJoin(F.broadcast(ends))
+    edges = F.array(F.struct(F.least("simulation", "last").alias("day"), F.lit(1).alias("sign")), F.struct(F.least(F.date_sub("cutoff", 1), "last").alias("day"), F.lit(-1).alias("sign")))
+    looked = spans.select("request_id", F.inline(edges)).join(sums, "day")
+    summed = looked.groupBy("request_id").agg(F.sum(F.col("sign") * F.col("n")).alias("n"), F.sum(F.col("sign") * F.col("q")).alias("q"))
     return requests.select("request_id").join(summed, "request_id", "left").select("request_id", F.coalesce("n", F.lit(0)).alias("n_in_window"), F.coalesce("q", F.lit(0)).alias("n_quarantined"))

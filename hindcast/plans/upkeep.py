@@ -52,10 +52,18 @@ STAGES = f"""WITH {Q} SELECT coalesce(domain, 'unknown') AS domain, CASE WHEN co
 
 
 def retention(spark: SparkSession, d: str, keep: int = 3) -> DataFrame:
-    """Predictions of a sample beyond its ``keep`` newest attempts, which a clean-up may remove."""
+    """Predictions beyond the ``keep`` newest of their question and experiment, which a clean-up may remove.
+
+    Ages are counted by day first and then within a day, so that a hot question isn't ordered by one task.
+    """
     once = table(spark, d, "predictions").select("question_id", "experiment", "sample_idx", "prediction_id", "created_at").distinct()
-    w = Window.partitionBy("question_id", "experiment").orderBy(F.col("created_at").desc_nulls_last(), F.desc("prediction_id"))
-    return once.withColumn("age", F.row_number().over(w)).filter(F.col("age") > keep).select("prediction_id", "age")
+    group, day = ["question_id", "experiment"], F.coalesce(F.datediff("created_at", F.lit("1970-01-01")), F.lit(-(2**31) + 1))
+    dated = once.na.fill("", group).withColumn("day", day)
+    later = Window.partitionBy(*group).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = dated.groupBy(*group, "day").agg(F.count(F.lit(1)).alias("m")).select(*group, "day", F.coalesce(F.sum("m").over(later), F.lit(0)).alias("later"))
+    w = Window.partitionBy(*group, "day").orderBy(F.col("created_at").desc_nulls_last(), F.desc("prediction_id"))
+    aged = dated.withColumn("place", F.row_number().over(w)).join(counts, [*group, "day"])
+    return aged.withColumn("age", F.col("later") + F.col("place")).filter(F.col("age") > keep).select("prediction_id", "age")
 
 
 RETENTION = """WITH p AS (SELECT DISTINCT question_id, experiment, sample_idx, prediction_id, created_at FROM predictions)

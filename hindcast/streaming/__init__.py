@@ -1 +1 @@
-"""Part of the engine."""
+"""Deliveries that arrive while the engine runs."""

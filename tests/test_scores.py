@@ -82,3 +82,18 @@ def test_upper_median_and_ranks(spark):
 @pytest.mark.parametrize("z", [0.0, 0.5, -1.96, 4.0])
 def test_two_sided_p(spark, z):
     assert one(spark, S.normal_two_sided(F.col("z")), z=("double", z)) == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=3e-7)
+
+
+def test_window_counts_brute(spark):
+    import datetime as dt
+
+    from hindcast.operators.retrieval import window_counts
+
+    rng, day = random.Random(2), lambda n: None if n is None else dt.date(2024, 1, 1) + dt.timedelta(days=n)
+    records = [(rng.choice([None, *range(20, 60)]), rng.choice(["high", "uncertain", None])) for _ in range(80)]
+    asked = [(i, rng.choice([None, *range(0, 80)]), rng.choice([None, *range(0, 80)])) for i in range(60)]
+    ev = spark.createDataFrame([(day(n), c) for n, c in records], "event_date date, date_confidence string")
+    rq = spark.createDataFrame([(i, day(a), day(b)) for i, a, b in asked], "request_id long, cutoff date, simulation date")
+    count = lambda a, b, ok: sum(None not in (n, a, b, c) and a <= n <= b and ok == (c != "uncertain") for n, c in records)
+    assert {tuple(r) for r in window_counts(ev, rq).collect()} == {(i, count(a, b, True), count(a, b, False)) for i, a, b in asked}
+    assert window_counts(ev.limit(0), rq).filter("n_in_window = 0").count() == 60
