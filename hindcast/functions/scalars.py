@@ -35,6 +35,11 @@ def iso_date(c: Column | str) -> Column:
     return F.try_to_date(c, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.expr(f"try_to_date({c}, 'yyyy-MM-dd')")
 
 
+def any_date(c: Column | str) -> Column:
+    """A date typed in one of FORMATS, the first that fits; null for an impossible date or another form."""
+    return F.coalesce(*(F.try_to_date(F.trim(c), f) for f in FORMATS))
+
+
 def words(c: Column | str) -> Column:
     """Lower-case words between blanks."""
     col = F.col(c) if isinstance(c, str) else c

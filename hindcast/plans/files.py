@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hindcast.functions.scalars import r6
 from hindcast.runtime import Scratch, table
 from hindcast.sources.files import append_absent, read_index, read_predictions, write_predictions
+from hindcast.streaming.ingest import deliveries, follow
 
 
 def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -35,4 +36,12 @@ def record_index(spark: SparkSession, d: str) -> DataFrame:
 
 INDEX = """WITH e AS (SELECT DISTINCT record_id, event_date FROM event_records) SELECT strftime(event_date, '%Y-%m') AS month, count(*) AS n, min(record_id) AS first FROM e WHERE year(event_date) = 2024 GROUP BY 1"""
 
-QUERIES = {"jsonl_scan": (jsonl_scan, JSONL), "record_index": (record_index, INDEX)}
+
+def streamed_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same months of an index that a stream of the record files filled."""
+    base, given = Scratch(spark).base, table(spark, d, "event_records")
+    follow(deliveries(spark, f"{d}/event_records.parque[t]", given.schema), f"{base}/index", f"{base}/state").awaitTermination()
+    return read_index(spark, f"{base}/index", "2024-01", "2024-12").groupBy(F.date_format("event_date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"))
+
+
+QUERIES = {"jsonl_scan": (jsonl_scan, JSONL), "record_index": (record_index, INDEX), "streamed_index": (streamed_index, INDEX)}

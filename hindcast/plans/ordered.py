@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.objects import object_of
-from hindcast.functions.scalars import r6
+from hindcast.functions.scalars import r6, words
 from hindcast.operators import scoring as S
 from hindcast.operators.leaders import key_leaders, leader_clusters
+from hindcast.operators.overlap import overlap_pairs
 from hindcast.operators.retrieval import one_of_each
 from hindcast.runtime import table
 
@@ -19,6 +20,13 @@ def judged_leaders(spark: SparkSession, d: str) -> DataFrame:
     return leader_clusters(table(spark, d, "questions"), pairs, "question_id", "question_a_id", "question_b_id")
 
 
+def title_leaders(spark: SparkSession, d: str, alike: float = 0.8) -> DataFrame:
+    """Different titles (as sorted words) in order, each kept unless a kept one shares ``alike`` of the words of the longer."""
+    titles = table(spark, d, "questions").filter("length(trim(title)) > 0").select(F.array_sort(F.array_distinct(words("title"))).alias("words")).distinct()
+    items = titles.select(F.array_join("words", " ").alias("key"), "words", F.lit(0).alias("here"), F.array(F.lit(0)).alias("near"))
+    return leader_clusters(items, overlap_pairs(items, alike), "key", "a", "b")
+
+
 def event_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Records in order of id, clustered by leaders: the same day, lead actor and a shared topic."""
     e = one_of_each(table(spark, d, "event_records")).select("record_id", "event_date", F.get("actors", F.lit(0)).alias("actor_id"), F.explode_outer("topics").alias("topic"))
@@ -47,4 +55,4 @@ def bootstrap_ci(spark: SparkSession, d: str, draws: int = 1000) -> DataFrame:
     return means.groupBy("experiment").agg(r6(F.percentile("mean", 0.025)).alias("low"), r6(F.percentile("mean", 0.975)).alias("high"))
 
 
-QUERIES = {f.__name__: (f, None) for f in (judged_leaders, event_clusters, answer_objects, bootstrap_ci)}
+QUERIES = {f.__name__: (f, None) for f in (judged_leaders, title_leaders, event_clusters, answer_objects, bootstrap_ci)}

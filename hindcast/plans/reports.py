@@ -11,6 +11,7 @@ from hindcast.operators.retrieval import visible
 from hindcast.plans.retrieval import EV, events
 from hindcast.plans.scoring import AM, GRID, PD, WILCOXON, W, action_means, binary_means, scored
 from hindcast.runtime import table
+from hindcast.sources.files import markdown
 
 C = lambda x: f"greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, {x}))"
 #: A question is in the fitting part if its hash begins below this: three tenths of all.
@@ -169,7 +170,17 @@ BRIEFING = f"""WITH {EV}, rq AS (SELECT DISTINCT request_id, simulation_date, mo
     SELECT request_id, coalesce(n, 0) AS n, concat_ws(chr(10), 'Records from ' || coalesce(strftime(model_training_cutoff, '%Y-%m-%d'), '?') || ' to ' || strftime(simulation_date, '%Y-%m-%d') || ': ' || coalesce(n, 0), repeat('-', 60), lines) AS briefing
     FROM rq LEFT JOIN l USING (request_id)"""
 
+
+def summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The summary of experiments as the rows of a Markdown table."""
+    return markdown(score_summary(spark, d).select("experiment", "n_scored", "brier", "brier_binary", "brier_action", "log_loss"), ["experiment"])
+
+
+LINES = f"""WITH su AS ({SUMMARY}) SELECT row_number() OVER (ORDER BY experiment) AS line_no, '| ' || concat_ws(' | ', experiment, n_scored, coalesce(printf('%.4f', brier), '-'), coalesce(printf('%.4f', brier_binary), '-'),
+    coalesce(printf('%.4f', brier_action), '-'), coalesce(printf('%.4f', log_loss), '-')) || ' |' AS line FROM su"""
+
 QUERIES = {
+    "summary_lines": (summary_lines, LINES),
     "score_summary": (score_summary, SUMMARY),
     "holdout_temperature": (holdout_temperature, HOLDOUT),
     "action_temperature": (action_temperature, ACTION_T),

@@ -173,10 +173,16 @@ def error_kinds(spark: SparkSession, d: str) -> DataFrame:
     return once.groupBy("model_id", F.col("e").rlike("timeout|timed out|http 5[0-9][0-9]|429|rate limit|unavailable|connection").alias("transient")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def for_each_experiment(rows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``rows`` repeated for each experiment that occurs, by one array of their names."""
+    names = predictions.agg(F.collect_set("experiment").alias("experiments"))
+    return rows.join(F.broadcast(names)).withColumn("experiment", F.explode("experiments")).drop("experiments")
+
+
 def resume_antijoin(spark: SparkSession, d: str, n_samples: int = 5) -> DataFrame:
     """Work that is left: question x sample of each experiment, minus what has any row (error rows count as done)."""
     p = table(spark, d, "predictions").select("experiment", "question_id", "sample_idx").distinct()
-    asked = p.select("experiment").distinct().crossJoin(table(spark, d, "questions").filter("correct_answer is not null").select("question_id").distinct())
+    asked = for_each_experiment(table(spark, d, "questions").filter("correct_answer is not null").select("question_id").distinct(), p)
     work = asked.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
     return work.join(p, ["experiment", "question_id", "sample_idx"], "left_anti")
 
@@ -184,7 +190,7 @@ def resume_antijoin(spark: SparkSession, d: str, n_samples: int = 5) -> DataFram
 def missing_questions(spark: SparkSession, d: str) -> DataFrame:
     """Resolved questions without a scored sample in an experiment."""
     own = scored(spark, d).select("experiment", "question_id").distinct()
-    every = table(spark, d, "predictions").select("experiment").distinct().crossJoin(table(spark, d, "questions").filter("correct_answer is not null").select("question_id").distinct())
+    every = for_each_experiment(table(spark, d, "questions").filter("correct_answer is not null").select("question_id").distinct(), table(spark, d, "predictions"))
     return every.join(own, ["experiment", "question_id"], "left_anti").groupBy("experiment").agg(F.count(F.lit(1)).alias("n_missing"), F.min("question_id").alias("first"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.scalars import host, iso_date, r6, words
+from hindcast.functions.scalars import any_date, host, iso_date, r6, words
 from hindcast.operators.leaders import leader_clusters
 from hindcast.operators.overlap import overlap_pairs
 from hindcast.operators.retrieval import one_of_each
@@ -108,7 +108,18 @@ def seed_merge(spark: SparkSession, d: str, days: int = 3, alike: float = 0.5) -
     return led.select(F.substring("key", 12, 1000).alias("question_id"), F.substring("leader", 12, 1000).alias("seed_id"))
 
 
+def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Simulation dates in whatever form they were typed, and how they lie to the resolution date."""
+    q = table(spark, d, "questions").dropDuplicates(["question_id"])
+    return q.select("question_id", any_date("simulation_date").alias("day"), F.datediff(any_date("resolution_date"), any_date("simulation_date")).alias("days_open"))
+
+
+DATE_OF = lambda c: f"CAST(try_strptime(trim({c}), ['%Y-%m-%d', '%d %B %Y', '%d/%m/%Y', '%Y/%m/%d']) AS DATE)"
+PARSED = f"WITH {Q} SELECT question_id, {DATE_OF('simulation_date')} AS day, date_diff('day', {DATE_OF('simulation_date')}, {DATE_OF('resolution_date')}) AS days_open FROM qq"
+
+
 QUERIES = {
+    "parsed_dates": (parsed_dates, PARSED),
     "source_quality": (source_quality, SOURCE_QUALITY),
     "merged_sources": (merged_sources, MERGED_SOURCES),
     "stage_reached": (stage_reached, STAGES),
