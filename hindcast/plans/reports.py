@@ -10,7 +10,7 @@ from hindcast.operators import scoring as S
 from hindcast.operators.retrieval import visible
 from hindcast.plans.retrieval import EV, events
 from hindcast.plans.scoring import AM, GRID, PD, WILCOXON, W, action_means, binary_means, scored
-from hindcast.runtime import table
+from hindcast.runtime import Scratch, table
 from hindcast.sources.files import markdown
 
 C = lambda x: f"greatest(1e-6::DOUBLE, least(1 - 1e-6::DOUBLE, {x}))"
@@ -96,8 +96,11 @@ ACTION_T = W + f""", {AM}, ac AS (SELECT experiment, question_id, option = corre
 
 
 def contrasts(spark: SparkSession, d: str) -> DataFrame:
-    """Each two experiments on the questions both scored: mean and upper median difference, signed ranks and their p-value."""
-    deltas = S.paired(S.per_question(scored(spark, d)))
+    """Each two experiments on the questions both scored: mean and upper median difference, signed ranks and their p-value.
+
+    The differences are written once, since means, medians and ranks each read them.
+    """
+    deltas = Scratch(spark).keep(S.paired(S.per_question(scored(spark, d))))
     mean = deltas.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("delta")).alias("mean_delta"))
     ranks = S.wilcoxon(deltas).select("a", "b", "w", "z", F.round(S.normal_two_sided(F.col("z")), 5).alias("p_value"))
     return mean.join(S.upper_median(deltas), ["a", "b"]).join(ranks, ["a", "b"], "left")
