@@ -1,7 +1,7 @@
 """Variant spellings of names typed by people, linked to the person or organisation that is meant.
 
 Method: spellings and reference names are blocked by phonetic codes of their sorted tokens (with one code lost, for typing
-errors), candidates are compared token by token with Jaro-Winkler and a nickname table, and accepted pairs are clustered by
+errors) and by surnames with one letter lost, which no slip that is accepted escapes; candidates are compared token by token with Jaro-Winkler and a nickname table, and accepted pairs are clustered by
 connected components, whose least member is the reference name.  The nickname table is what the reference table lists,
 completed by nicknames that the spellings themselves give beside a full name.
 
@@ -58,6 +58,14 @@ def with_loss(code: str) -> set[str]:
     return {code} | ({code[:i] + code[i + 1 :] for i in range(len(code))} if len(code) > 3 else set())
 
 
+def less_one(name: str) -> set[str]:
+    """A name and, of names that may be ``similar`` to others, the name with one letter lost.
+
+    Names that differ by one slip share one of these: of a letter changed or two swapped, either is lost on both sides.
+    """
+    return {name} | ({name[:i] + name[i + 1 :] for i in range(len(name))} if len(name) > 3 else set())
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -149,6 +157,7 @@ class Spelling:
 
     def keys(self) -> set[str]:
         out = {"p" + code for _, last in self.readings if len(last) > 2 for code in with_loss(phonetic(last))}
+        out |= {"s" + part for _, last in self.readings for part in less_one(last)}
         out |= {f"g{phonetic(given[0])} {last[0]}" for given, last in self.readings if given and len(given[0]) > 2 and last}
         tokens = sorted({phonetic(w.rstrip(".")) for w in self.words if w not in FILLERS and len(w) > 2} - {""})
         out |= {"o" + "-".join(pair) for pair in combinations(tokens, 2)}
@@ -171,7 +180,7 @@ def acronyms(name: str, known: str) -> set[str]:
 def reference_keys(name: str, kind: str, known: str) -> set[str]:
     words = plain(name).lower().split()
     if kind == "person":
-        return {"p" + code for code in with_loss(phonetic(words[-1]))} | {f"g{phonetic(words[0])} {words[-1][0]}"}
+        return {"p" + code for code in with_loss(phonetic(words[-1]))} | {"s" + part for part in less_one(words[-1])} | {f"g{phonetic(words[0])} {words[-1][0]}"}
     tokens = sorted({phonetic(w) for w in words if w not in FILLERS and len(w) > 2} - {""})
     return {"o" + "-".join(pair) for pair in combinations(tokens, 2)} | {"a" + a for a in acronyms(name, known)}
 

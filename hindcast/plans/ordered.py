@@ -11,7 +11,7 @@ from hindcast.operators import scoring as S
 from hindcast.operators.leaders import key_leaders, leader_clusters
 from hindcast.operators.overlap import overlap_pairs
 from hindcast.operators.retrieval import one_of_each
-from hindcast.runtime import table
+from hindcast.runtime import Scratch, table
 
 
 def judged_leaders(spark: SparkSession, d: str) -> DataFrame:
@@ -27,11 +27,54 @@ def title_leaders(spark: SparkSession, d: str, alike: float = 0.8) -> DataFrame:
     return leader_clusters(items, overlap_pairs(items, alike), "key", "a", "b")
 
 
+def coded_texts(texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``text, w``: the words of each of ``texts`` (text, words) as numbers, the rarest first."""
+    long = texts.select("text", F.explode("words").alias("word"))
+    codes = scratch.keep(long.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("code", F.monotonically_increasing_id()))
+    return scratch.keep(long.join(codes, "word").groupBy("text").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: x["code"]).alias("w")))
+
+
+#: Of words in one order, texts that share more than half have one of their first words in common, and such as share more than
+#: three quarters, which are at least 4 if the texts differ, three of their first words.
+ONE_OF = "slice(w, 1, size(w) - floor(size(w) / 2))"
+THREE_OF = """flatten(transform(sequence(1, m - 2), i -> flatten(transform(sequence(i + 1, m - 1), j -> transform(sequence(j + 1, m), k -> xxhash64(w[i - 1], w[j - 1], w[k - 1]))))))"""
+
+
+def event_keys(events: DataFrame, days: int = 2) -> DataFrame:
+    """``record_id, key``: records describe the same event if and only if they share a key; the key is null beside others.
+
+    Same event: at most ``days`` apart with more than half of the words of the longer headline shared, or the same day and a
+    shared topic, or more than three quarters of the words shared, whatever the dates.  Headlines of the same words are one
+    text, and one text of one day is one item.  All records of two items that match match each other, so a pair of items is a
+    key as well, and no pair of records is built.  Candidates carry their words and are verified where they meet.
+    """
+    scratch = Scratch(events.sparkSession)
+    read = scratch.keep(events.select("record_id", F.unix_date("event_date").alias("day"), "topics", F.array_sort(F.array_distinct(words("headline"))).alias("words")))
+    texts = scratch.keep(read.select("words").filter("size(words) > 0").distinct().withColumn("text", F.monotonically_increasing_id()))
+    e = scratch.keep(read.join(texts, "words", "left").drop("words"))
+    coded = coded_texts(texts, scratch)
+    share = lambda least: (F.least(F.size("a.w"), F.size("b.w")) > least * F.greatest(F.size("a.w"), F.size("b.w"))) & (F.size(F.array_intersect("a.w", "b.w")) > least * F.greatest(F.size("a.w"), F.size("b.w")))
+
+    met = coded.filter("size(w) > 3").withColumn("m", F.expr("int(size(w) - floor(size(w) * 0.75) + 2)")).select("text", "w", F.explode(F.expr(THREE_OF)).alias("at"))
+    anywhere = met.alias("a").join(met.alias("b"), F.expr("a.at = b.at and a.text < b.text")).filter(share(0.75)).select(F.col("a.text").alias("a"), F.col("b.text").alias("b")).distinct()
+
+    block = F.floor(F.col("day") / max(days, 1))
+    heads = e.select("day", "text").dropna().distinct().join(coded, "text").select("day", "text", "w", F.explode(F.expr(ONE_OF)).alias("at"))
+    left, right = heads.withColumn("block", block), heads.withColumn("block", F.explode(F.array(block - 1, block)))
+    near = left.alias("a").join(right.alias("b"), F.expr(f"a.at = b.at and a.block = b.block and a.text <> b.text and abs(a.day - b.day) <= {int(days)}")).filter(share(0.5))
+    ends = [F.struct(F.col(f"{x}.day").alias("day"), F.col(f"{x}.text").alias("text")) for x in "ab"]
+    close = near.select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).distinct()
+
+    by_text = e.select("record_id", F.concat(F.lit("text "), "text").alias("key"))
+    by_topic = e.filter("day is not null").select("record_id", "day", F.explode("topics").alias("topic")).dropna().select("record_id", F.concat_ws(" ", F.lit("topic"), "day", "topic").alias("key"))
+    by_words = anywhere.select(F.explode(F.array("a", "b")).alias("text"), F.concat_ws(" ", "a", "b").alias("key")).join(e, "text").select("record_id", "key")
+    by_days = close.select(F.explode(F.array("a", "b")).alias("end"), F.concat_ws(" ", "a.day", "a.text", "b.day", "b.text").alias("key")).select("end.*", "key").join(e, ["day", "text"]).select("record_id", "key")
+    return by_text.unionByName(by_topic).unionByName(by_words).unionByName(by_days)
+
+
 def event_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Records in order of id, clustered by leaders: the same day, lead actor and a shared topic."""
-    e = one_of_each(table(spark, d, "event_records")).select("record_id", "event_date", F.get("actors", F.lit(0)).alias("actor_id"), F.explode_outer("topics").alias("topic"))
-    whole = F.col("event_date").isNotNull() & F.col("actor_id").isNotNull() & F.col("topic").isNotNull()
-    return key_leaders(e.select("record_id", F.when(whole, F.concat_ws("\t", "event_date", "actor_id", "topic")).alias("key")), "record_id", "key")
+    """Records in order of id, clustered by leaders that describe the same event."""
+    return key_leaders(event_keys(one_of_each(table(spark, d, "event_records"))), "record_id", "key")
 
 
 def answer_objects(spark: SparkSession, d: str) -> DataFrame:

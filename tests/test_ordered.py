@@ -1,9 +1,11 @@
 import random
+from datetime import date, timedelta
 
 import pytest
 
 from hindcast.functions.objects import first_object
 from hindcast.operators.leaders import key_leaders, leader_clusters
+from hindcast.plans.ordered import event_keys
 
 
 def fold(nodes, edges):
@@ -38,6 +40,28 @@ def test_key_leaders_equal_the_fold(spark, seed):
     assert key_leaders(df.limit(0), "id", "k").count() == 0
 
 
+def same_event(x, y):
+    a, b = (set((r[2] or "").lower().split()) for r in (x, y))
+    share = len(a & b) / max(len(a), len(b)) if a and b else 0
+    apart = abs((x[1] - y[1]).days) if x[1] and y[1] else None
+    return apart is not None and (apart <= 2 and share > 0.5 or apart == 0 and bool(set(x[3] or ()) & set(y[3] or ()))) or share > 0.75
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_event_clusters_equal_the_fold(spark, seed):
+    rng = random.Random(seed)
+    headline = lambda: " ".join(rng.choice("Wab") + rng.choice("cde") for _ in range(rng.randint(1, 6)))
+    some = [(f"r{i:02}", rng.choice([None] + [date(2024, 2, 27) + timedelta(days=n) for n in range(9)]), rng.choice([None, "", " ", headline(), headline(), headline()]), rng.choice([None, [], ["x"], ["y", "z"], ["z", f"t{i % 5}"]])) for i in range(60)]
+    half = [("s0", date(2023, 1, 3), "one two Three four", None), ("s1", date(2023, 1, 5), "one two three five", None), ("s2", date(2023, 1, 6), "one two three five six", None), ("s3", date(2023, 1, 3), "one two six seven", None)]
+    rows = some + half + [("t0", None, "one two three five SIX", None), ("u0", date(2022, 1, 1), None, ["x", None]), ("u1", date(2022, 1, 1), "other", [None, "x"]), ("u2", date(2022, 1, 1), "another", [None])]
+    df = spark.createDataFrame(rows, "record_id string, event_date date, headline string, topics array<string>")
+    edges = [(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and same_event(x, y) and (x[0], y[0]) not in {("u0", "u2"), ("u1", "u2")}]
+    got = {r.record_id: r.leader for r in key_leaders(event_keys(df), "record_id", "key").collect()}
+    assert got == fold([r[0] for r in rows], edges)
+    assert (got["s1"], got["s2"], got["s3"], got["t0"], got["u1"], got["u2"]) == ("s0", "s2", "s3", "s2", "u0", "u2")
+    assert event_keys(df.limit(0)).count() == 0
+
+
 def test_leaders_of_nothing(spark):
     n, e = spark.createDataFrame([], "id string"), spark.createDataFrame([], "a string, b string")
     assert leader_clusters(n, e, "id", "a", "b").count() == 0
