@@ -1,7 +1,7 @@
 """Variant spellings of names typed by people, linked to the person or organisation that is meant.
 
 Method: spellings and reference names are blocked by phonetic codes of their sorted tokens (with one code lost, for typing
-errors) and by surnames with one letter lost, which no slip that is accepted escapes; candidates are compared token by token with Jaro-Winkler and a nickname table, and accepted pairs are clustered by
+errors) and by surnames with one letter lost, which no slip that is accepted escapes, organisations also by all words but one; candidates are compared token by token with Jaro-Winkler and a nickname table, and accepted pairs are clustered by
 connected components, whose least member is the reference name.  The nickname table is what the reference table lists,
 completed by nicknames that the spellings themselves give beside a full name.
 
@@ -66,6 +66,12 @@ def less_one(name: str) -> set[str]:
     return {name} | ({name[:i] + name[i + 1 :] for i in range(len(name))} if len(name) > 3 else set())
 
 
+def all_but_one(words: list[str]) -> set[str]:
+    """Of several words those beside each one, in order of the alphabet, and of one word what ``less_one`` gives."""
+    words = sorted(words)
+    return {" ".join(words[:i] + words[i + 1 :]) for i in range(len(words))} if len(words) != 1 else less_one(words[0])
+
+
 def jaro_winkler(a: str, b: str) -> float:
     if a == b:
         return 1.0
@@ -161,6 +167,7 @@ class Spelling:
         out |= {f"g{phonetic(given[0])} {last[0]}" for given, last in self.readings if given and len(given[0]) > 2 and last}
         tokens = sorted({phonetic(w.rstrip(".")) for w in self.words if w not in FILLERS and len(w) > 2} - {""})
         out |= {"o" + "-".join(pair) for pair in combinations(tokens, 2)}
+        out |= {"w" + rest for rest in all_but_one([w.rstrip(".") for w in self.words if w not in FILLERS])}
         if self.acronym:
             out.add("a" + self.acronym)
         return out
@@ -182,7 +189,8 @@ def reference_keys(name: str, kind: str, known: str) -> set[str]:
     if kind == "person":
         return {"p" + code for code in with_loss(phonetic(words[-1]))} | {"s" + part for part in less_one(words[-1])} | {f"g{phonetic(words[0])} {words[-1][0]}"}
     tokens = sorted({phonetic(w) for w in words if w not in FILLERS and len(w) > 2} - {""})
-    return {"o" + "-".join(pair) for pair in combinations(tokens, 2)} | {"a" + a for a in acronyms(name, known)}
+    beside = all_but_one([w for w in words if w not in FILLERS])
+    return {"o" + "-".join(pair) for pair in combinations(tokens, 2)} | {"w" + rest for rest in beside} | {"a" + a for a in acronyms(name, known)}
 
 
 def short_for(word: str, full: str) -> bool:

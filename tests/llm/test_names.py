@@ -1,4 +1,6 @@
-from hindcast.llm.names import fits_person, jaro_winkler, linked_speakers, one_slip, phonetic, spelling
+import random
+
+from hindcast.llm.names import fits_organisation, fits_person, jaro_winkler, linked_speakers, one_slip, phonetic, reference_keys, similar, spelling
 
 
 def test_parts():
@@ -9,6 +11,23 @@ def test_parts():
     assert fits_person(spelling("Mina Talvane"), "Vera Talvane", "minister", "")[0] == 0
 
 
+def test_a_slip_leaves_a_key():
+    rng = random.Random(4)
+    for form, name in [("O. Ossefoss", "Oskilphine Ossedoss"), ("V. Volalik", "Veri Volanlik"), ("I. Sukesfax", "Iorildan Sulesfax"), ("S. Sukasky", "Sabara Sulasky"), ("R. Dremunmpnt", "Rosulis Dremunmont"), ("O. Ossoray", "Oskorven Ossobray")]:
+        assert fits_person(spelling(form), name, "", "")[0] and spelling(form).keys() & reference_keys(name, "person", "")
+    for form, name in [("Agency of Housing Integrarion", "Agency of Housing Integration"), ("Rail Kouncil", "Rail Council"), ("Mazr Council", "Maze Council")]:
+        assert fits_organisation(spelling(form), name, "") and spelling(form).keys() & reference_keys(name, "organisation", "")
+    tried = 0
+    while tried < 500:
+        last = "".join(rng.choice("abdefgklmnorstvy") for _ in range(rng.randint(2, 9)))
+        at, how = rng.randrange(len(last)), rng.randrange(4)
+        typed = last[:at] + ("", rng.choice("aklmnt"), rng.choice("aklmnt") + last[at], last[at + 1 : at + 2] + last[at])[how] + last[at + (2 if how == 3 else 1) :]
+        if similar(typed, last):
+            tried += 1
+            for form in (f"M. {typed}", f"Minister {typed}", f"{typed}, M."):
+                assert spelling(form).keys() & reference_keys(f"Mina {last}", "person", ""), (form, last)
+
+
 ACTORS = [
     ("lem", "Lemusgor Volarcott", "person", "Chancellor", ["Lemek"]), ("pel", "Pelorra Oskorven Brunenard", "person", "Senator", []), ("aldi", "Aldisio Firthozek", "person", "Minister", []),
     ("alde", "Aldenmund Firthozek", "person", "General", None), ("ctt", "Council of Tea Turnout", "organisation", "Council", ["CTT"]), ("smc", "Steddenstad Maize Commission", "organisation", "Commission", []),
