@@ -83,7 +83,7 @@ def answer_objects(spark: SparkSession, d: str) -> DataFrame:
     return calls.groupBy("model_id", "o.how").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("o.probability")).alias("probability"))
 
 
-def bootstrap_ci(spark: SparkSession, d: str, draws: int = 1000) -> DataFrame:
+def bootstrap_ci(spark: SparkSession, d: str, draws: int = 10_000) -> DataFrame:
     """95 % interval of each experiment's mean Brier by a Poisson bootstrap.
 
     Each question draws a Poisson(1) weight in each resample from a hash of its id and the resample's number, so resamples are

@@ -1,3 +1,4 @@
+import inspect
 import random
 from datetime import date, timedelta
 
@@ -5,7 +6,7 @@ import pytest
 
 from hindcast.functions.objects import first_object
 from hindcast.operators.leaders import key_leaders, leader_clusters
-from hindcast.plans.ordered import event_keys
+from hindcast.plans.ordered import bootstrap_ci, event_keys
 
 
 def fold(nodes, edges):
@@ -76,3 +77,7 @@ def test_leaders_of_nothing(spark):
 )
 def test_objects(text, want):
     assert first_object(text) == want
+
+
+def test_bootstrap_takes_as_many_draws_as_the_reference():
+    assert inspect.signature(bootstrap_ci).parameters["draws"].default == 10_000
