@@ -270,7 +270,11 @@ INSERT_IF_ABSENT = """WITH e AS (SELECT CAST(CAST(max(ingestion_date) AS DATE) -
 
 
 def confidence_score(spark: SparkSession, d: str) -> DataFrame:
-    """Confidence by the number of different hosts, moved by how official the sources are, within 0..1."""
+    """Confidence by the number of different hosts, moved by how official the sources are, within 0..1.
+
+    The term for dates that agree is left out, as no dates for each source's extraction are given; quality is that of the
+    claimed type, not of the URL.  Scores of records with several hosts therefore differ from the reference's.
+    """
     quality = F.aggregate("sources", F.lit(0.0), lambda s, x: s + F.when(x["type"].isin("government", "primary"), 1.0).when(x["type"] == "news", 0.8).otherwise(0.5)) / F.greatest(F.size("sources"), F.lit(1))
     n = F.size(F.array_distinct(F.transform("sources", lambda s: F.regexp_extract(s["url"], "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))))
     base = F.when(n <= 1, 0.4).when(n == 2, 0.6).otherwise(0.8) + (quality - 0.5) * 0.2
