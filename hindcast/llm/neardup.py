@@ -1,13 +1,16 @@
 """Groups of records whose words are nearly the same, without comparing all pairs.
 
 Method: SetSketch.  A record is the multiset of its words (case, order and punctuation ignored).  Register j of its sketch is
-the largest ``floor(1 - log_b h_j(e))`` over the elements e, where h_j is an exponential variable with rate ``RATE``, so
-registers are exponentially spaced truncated minima: sketches merge by maximum, and two registers are equal about as often as
-the sets overlap.  Bands of registers are the join keys of candidate pairs; the overlap of a candidate is estimated from all
-registers jointly by maximum likelihood, and what may reach the threshold is verified on the whole word multisets.
-
-Words that more than ``COMMON`` of all texts hold are left out of sketches of texts that have at least ``FEW`` other words
-(they make unlike texts alike); verification counts every word.  A text with fewer has bands of all its words too.
+the largest ``floor(1 - log_b h_j(e))`` over the elements e, where h_j is an exponential variable with rate ``RATE`` times the
+weight of e, so registers are exponentially spaced truncated minima: sketches merge by maximum, and two registers are equal
+about as often as the weighted sets overlap.  Bands of registers are the join keys of candidate pairs; the overlap of a
+candidate is estimated from all registers jointly by maximum likelihood, and what may reach the threshold is verified on the
+whole word multisets.
+
+A word that a part f of its kind's texts hold weighs ``min(1, COMMON / f)`` in sketches, at every corpus size, so words that
+nearly all texts share don't make unlike texts meet, and no word is left out.  Two texts over the threshold that differ in
+rare words only overlap less by weight; where that could be less than ``GUARANTEE`` (by a text's own words and the threshold,
+beside a text of as many words), the text has bands of its words with equal weights as well.  Verification counts words equally.
 """
 
 from __future__ import annotations
@@ -19,17 +22,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hindcast.llm.components import connected_components
-from hindcast.runtime import Scratch
-
-BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
-BANDS, ROWS = 40, 6
-COMMON, FEW = 0.10, 16
-#: Candidates whose estimated overlap of sketched words is below this are not verified: 0.3 under the least overlap wanted.
-ESTIMATE = 0.35
+from hindcast.runtime import Scratch, pairs_within, shuffle_partitions
+
+BASE, RATE, TOP = 1.001, 2000.0, (1 << 16) - 2
+BANDS, ROWS = 60, 6
+#: Part of a kind's texts from which on a word weighs less than 1.
+COMMON = 0.10
+#: Least weighted overlap that a text's words must leave to a pair at the threshold, else equal weights are used as well.
+GUARANTEE = 0.4
+#: Candidates are dropped before verification only if their estimate lies this many standard deviations below the least that
+#: a pair over the threshold can have, by its sizes: once in a thousand million pairs by chance.
+DEVIATIONS = 6.0
+#: Texts of a band up to which each is paired where it is met; the texts of a larger band are paired in salted parts.
+BAND = 64
+#: Rows of band keys for one shuffle partition.
+BAND_ROWS = 500_000
+#: Elements whose registers are held at once; longer texts are sketched in parts, which merge by maximum.
+BLOCK, PART = 1 << 18, 1 << 15
 WORD = re.compile(r"\w+")
 U64 = np.uint64
 
@@ -50,27 +63,34 @@ def elements(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return mixed(words.astype(np.uint32).astype(U64) | run.astype(U64) << U64(32))
 
 
-def registers(element: np.ndarray, count: int) -> np.ndarray:
+def registers(element: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
     """Register values of single elements, one row each."""
     out = np.empty((len(element), count), np.uint16)
     steps = mixed(np.arange(1, count + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    rate = np.log(RATE * weight)
     for at in range(0, len(element), 4096):
         bits = mixed(element[at : at + 4096, None] ^ steps[None, :])
-        least = -np.log(((bits >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53) / RATE
-        out[at : at + 4096] = np.clip(np.floor(1.0 - np.log(least) / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
+        log_least = np.log(-np.log(((bits >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53)) - rate[at : at + 4096, None]
+        out[at : at + 4096] = np.clip(np.floor(1.0 - log_least / np.log(BASE)), 0, TOP + 1).astype(np.uint16)
     return out
 
 
-def sketches(element: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
+def merged(into: np.ndarray, rows: np.ndarray, parts: np.ndarray) -> None:
+    """Merge the sketches ``parts`` into the ``rows`` of ``into``: the larger value of each register."""
+    into[rows] = np.maximum(into[rows], parts)
+
+
+def sketches(element: np.ndarray, weight: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
     """One sketch (row of registers) for each slice of ``element`` that begins at ``starts``; no slice may be empty."""
-    distinct, place = np.unique(element, return_inverse=True)
-    single = registers(distinct, count)
-    ends = np.append(starts[1:], len(element))
-    out = np.empty((len(starts), count), np.uint16)
-    for at in range(0, len(starts), 512):
-        to = min(at + 512, len(starts))
-        first, last = starts[at], ends[to - 1]
-        out[at:to] = np.maximum.reduceat(single[place[first:last]], starts[at:to] - first, axis=0)
+    out = np.zeros((len(starts), count), np.uint16)
+    for block in range(0, len(element), BLOCK):
+        distinct, first, place = np.unique(element[block : block + BLOCK], return_index=True, return_inverse=True)
+        single = registers(distinct, weight[block : block + BLOCK][first], count)
+        for part in range(0, len(place), PART):
+            begin, end = block + part, min(block + part + PART, block + len(place))
+            inner = starts[np.searchsorted(starts, begin, "right") : np.searchsorted(starts, end, "left")]
+            cuts = np.concatenate([[begin], inner])
+            merged(out, np.searchsorted(starts, cuts, "right") - 1, np.maximum.reduceat(single[place[part : part + PART]], cuts - begin, axis=0))
     return out
 
 
@@ -132,40 +152,46 @@ def hashed_words(df: DataFrame, kind_col: str, id_col: str, text_col: str) -> Da
     return source.mapInArrow(run, f"kind {kind_type}, id {id_type}, uid long, words array<int>")
 
 
-def common_words(texts: DataFrame, common: float) -> dict[str, np.ndarray]:
-    """For each kind the word hashes that more than ``common`` of its texts hold.
+def common_words(texts: DataFrame, common: float) -> tuple[int, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The number of texts, and for each kind the word hashes that more than ``common`` of its texts hold, with their weights.
 
     By counting there are at most (mean words of a text) / ``common`` of them, so they may go through the driver.
     """
-    total = texts.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    held = texts.select("kind", F.explode(F.array_distinct("words")).alias("word")).groupBy("kind", "word").agg(F.count(F.lit(1)).alias("m"))
-    rows = held.join(F.broadcast(total), "kind").filter(F.col("m") > F.col("n") * common).select("kind", "word").collect()
-    out: dict[str, list[int]] = {}
-    for kind, word in rows:
-        out.setdefault(str(kind), []).append(word)
-    return {k: np.sort(np.array(v, np.int32)) for k, v in out.items()}
-
-
-def sketched(words: np.ndarray, starts: np.ndarray, kinds: list, common: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Elements without common words, and the number of them in each text."""
-    element, sizes = elements(words, starts[:-1]), np.diff(starts)
-    rare = np.ones(len(words), bool)
-    of = np.repeat(np.array([str(k) for k in kinds], dtype=object), sizes)
-    for kind, stop in common.items():
-        rare &= ~((of == kind) & np.isin(words, stop))
-    left = np.add.reduceat(np.append(rare, False).astype(np.int64), starts[:-1]) if len(sizes) else np.zeros(0, np.int64)
-    return element[rare], left
-
-
-def band_keys(texts: DataFrame, common: dict[str, np.ndarray], bands: int, rows: int) -> DataFrame:
-    """``key`` and ``uid``: one row for each band of each text."""
-
-    def keys(sketch: np.ndarray, salt: np.ndarray) -> np.ndarray:
-        parts = sketch.reshape(len(sketch), bands, rows).astype(U64)
-        key = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=U64))[None, :] ^ salt[:, None], (len(sketch), bands))
+    total = {str(k): n for k, n in texts.groupBy("kind").agg(F.count(F.lit(1))).collect()}
+    kinds = texts.sparkSession.createDataFrame(list(total.items()), "name string, n long")
+    held = texts.select(F.col("kind").cast("string").alias("name"), F.explode(F.array_distinct("words")).alias("word")).na.fill("None", ["name"])
+    often = held.groupBy("name", "word").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(kinds), "name").filter(F.col("m") > F.col("n") * common)
+    out: dict[str, list[tuple[int, float]]] = {}
+    for kind, word, weight in often.select("name", "word", common * F.col("n") / F.col("m")).orderBy("name", "word").collect():
+        out.setdefault(kind, []).append((word, weight))
+    return sum(total.values()), {k: (np.array([w for w, _ in v], np.int32), np.array([x for _, x in v])) for k, v in out.items()}
+
+
+def weighed(words: np.ndarray, starts: np.ndarray, kinds: list, common: dict[str, tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of texts (words of text i from ``starts[i]`` to ``starts[i + 1]``), different from kind to kind, and their weights."""
+    names, of = np.unique(np.array([str(k) for k in kinds], dtype=object), return_inverse=True)
+    of = np.repeat(of, np.diff(starts))
+    salts = np.array([zlib.crc32(n.encode("utf-8", "surrogatepass")) for n in names], U64)
+    weight = np.ones(len(words))
+    for at, name in enumerate(names):
+        if name in common:
+            stop, weights = common[name]
+            mine = np.flatnonzero(of == at)
+            place = np.minimum(np.searchsorted(stop, words[mine]), len(stop) - 1)
+            hit = stop[place] == words[mine]
+            weight[mine[hit]] = weights[place[hit]]
+    return mixed(elements(words, starts[:-1]) ^ mixed(salts)[of]), weight
+
+
+def band_keys(texts: DataFrame, common: dict[str, tuple[np.ndarray, np.ndarray]], share: float, bands: int, rows: int) -> DataFrame:
+    """``key`` and ``uid``: one row for each band of each text.  Keys have 48 bits, which packs the shuffled rows."""
+
+    def keys(sketch: np.ndarray, salt: int) -> np.ndarray:
+        parts = sketch.reshape(len(sketch), bands, rows)
+        key = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=U64) + U64(salt << 32))[None, :], (len(sketch), bands))
         for r in range(rows):
-            key = mixed(key * U64(0x100000001B3) ^ parts[:, :, r])
-        return key
+            key = mixed(key * U64(0x100000001B3) ^ parts[:, :, r].astype(U64))
+        return (key >> U64(16)).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,21 +199,42 @@ def band_keys(texts: DataFrame, common: dict[str, np.ndarray], bands: int, rows:
             words, starts = flat_lists(batch.column(2))
             if not len(uids):
                 continue
-            element, left = sketched(words, starts, kinds, common)
-            salt = np.array([zlib.crc32(str(k).encode()) for k in kinds], U64)
-            for of, first, size, extra in ((element, np.cumsum(left) - left, left, 0), (elements(words, starts[:-1]), starts[:-1], np.where(left < FEW, np.diff(starts), 0), 1)):
-                some = np.flatnonzero(size)
-                if len(some):
-                    if extra:
-                        at = np.concatenate([np.arange(first[i], first[i] + size[i]) for i in some])
-                        of, first = of[at], np.cumsum(size) - size
-                    key = keys(sketches(of, first[some], bands * rows), salt[some] + U64(extra << 32))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(uids[some], bands))], names=["key", "uid"])
+            element, weight = weighed(words, starts, kinds, common)
+            sizes, first = np.diff(starts), starts[:-1]
+            total = np.add.reduceat(weight, first)
+            out = [(keys(sketches(element, weight, first, bands * rows), 0), uids)]
+            loose = least_estimate(sizes, sizes, total, total, share) < GUARANTEE
+            if loose.any():
+                ends = np.cumsum(sizes[loose])
+                out.append((keys(sketches(element[np.repeat(loose, sizes)], np.ones(ends[-1]), ends - sizes[loose], bands * rows), 1), uids[loose]))
+            for key, of in out:
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(of, bands))], names=["key", "uid"])
 
     return texts.select("kind", "uid", "words").mapInArrow(run, "key long, uid long")
 
 
-def verified(pairs: DataFrame, common: dict[str, np.ndarray], share: float, count: int) -> DataFrame:
+def candidates(keyed: DataFrame, parts: int, scratch: Scratch) -> DataFrame:
+    """``uid_a`` < ``uid_b``: texts that share a band, each pair once.
+
+    A band of up to ``BAND`` texts is paired where its rows meet, from a window of bounded width; the texts of a larger band go
+    through a join whose salts follow their number, so no task holds a band.
+    """
+    of_band, before = Window.partitionBy("key"), Window.partitionBy("key").orderBy("uid").rowsBetween(-BAND, -1)
+    met = keyed.repartition(parts, "key").withColumn("near", F.collect_list("uid").over(before)).withColumn("n", F.count(F.lit(1)).over(of_band))
+    kept = scratch.keep(met.filter("n > 1").select("uid", "n", F.when(F.col("n") <= BAND, F.col("near")).alias("near"), F.when(F.col("n") > BAND, F.col("key")).alias("key")))
+    few = kept.filter(F.col("n") <= BAND).select(F.explode("near").alias("uid_a"), F.col("uid").alias("uid_b")).filter("uid_a < uid_b")
+    many = pairs_within(kept.filter(F.col("n") > BAND).select("key", "uid").distinct(), "key", "uid", "uid_a", "uid_b")
+    return few.unionByName(many.select("uid_a", "uid_b")).distinct()
+
+
+def least_estimate(size_a: np.ndarray, size_b: np.ndarray, weight_a: np.ndarray, weight_b: np.ndarray, share: float) -> np.ndarray:
+    """The least weighted overlap of a pair whose words overlap by ``share``: what is not common weighs at most 1 a word."""
+    common = share / (1 + share) * (size_a + size_b)
+    both = np.maximum(weight_a - (size_a - common), weight_b - (size_b - common))
+    return np.clip(both, 0, None) / np.maximum(weight_a + weight_b - both, 1e-9)
+
+
+def verified(pairs: DataFrame, common: dict[str, tuple[np.ndarray, np.ndarray]], share: float, count: int) -> DataFrame:
     """Candidates (kind, uid_a, uid_b, words_a, words_b) that reach ``share``: estimated from sketches, then counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,21 +245,15 @@ def verified(pairs: DataFrame, common: dict[str, np.ndarray], share: float, coun
             sides = []
             for c in (3, 4):
                 words, starts = flat_lists(batch.column(c))
-                element, left = sketched(words, starts, kinds, common)
-                sides.append((words, starts, element, left))
-            (wa, sa, ea, na), (wb, sb, eb, nb) = sides
-            maybe = np.ones(len(kinds), bool)
-            able = np.flatnonzero((na >= FEW) & (nb >= FEW))
-            if len(able):
-                first_a, first_b = np.cumsum(na) - na, np.cumsum(nb) - nb
-                pick = lambda e, f, n: (np.concatenate([e[f[i] : f[i] + n[i]] for i in able]), np.cumsum(n[able]) - n[able])
-                x, y = sketches(*pick(ea, first_a, na), count), sketches(*pick(eb, first_b, nb), count)
-                more, less = (x > y).sum(1), (x < y).sum(1)
-                maybe[able] = joint_estimate(more, less, count - more - less, na[able], nb[able]) >= ESTIMATE
+                element, weight = weighed(words, starts, kinds, common)
+                sides.append((words, starts, sketches(element, weight, starts[:-1], count), np.add.reduceat(weight, starts[:-1])))
+            (wa, sa, x, va), (wb, sb, y, vb) = sides
+            more, less = (x > y).sum(1), (x < y).sum(1)
+            least = least_estimate(np.diff(sa), np.diff(sb), va, vb, share)
+            maybe = joint_estimate(more, less, count - more - less, va, vb) >= least - DEVIATIONS * np.sqrt(least * (1 - least) / count)
             keep, shares = [], []
             for i in np.flatnonzero(maybe):
-                a, b = wa[sa[i] : sa[i + 1]], wb[sb[i] : sb[i + 1]]
-                value = overlap(a, b)
+                value = overlap(wa[sa[i] : sa[i + 1]], wb[sb[i] : sb[i + 1]])
                 if value >= share:
                     keep.append(int(i))
                     shares.append(value)
@@ -234,38 +275,40 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def near_duplicates(df: DataFrame, kind_col: str, id_col: str, text_col: str, share: float = 0.65, bands: int = BANDS, rows: int = ROWS, common: float = COMMON) -> tuple[DataFrame, DataFrame]:
-    """Links between different texts, and which rows hold them: (``kind, uid_a, uid_b, share``), (``kind, id, uid``).
+def near_duplicates(
+    df: DataFrame, kind_col: str, id_col: str, text_col: str, scratch: Scratch, share: float = 0.65, bands: int = BANDS, rows: int = ROWS, common: float = COMMON
+) -> tuple[DataFrame, DataFrame]:
+    """Links between different texts, and which rows hold them: (``uid_a, uid_b, share``), (``id, uid``).
 
-    Rows are compared within their ``kind`` only.  Texts with the same words in any order are one ``uid``; each link is
-    there once, whatever number of rows holds its texts.  Null ids, null texts and texts without a word take no part.
-    Repeated rows count once.  Extra columns are not read.
+    Rows are compared within their ``kind`` only; a null kind is a kind of its own.  Texts with the same words in any order are
+    one ``uid``; each link is there once, whatever number of rows holds its texts.  Null ids, null texts and texts without a
+    word take no part.  Repeated rows count once.  Extra columns are not read.  Both results are tables of ``scratch``.
     """
-    scratch = Scratch(df.sparkSession)
     base = scratch.keep(hashed_words(df, kind_col, id_col, text_col))
     texts = base.filter("words is not null").select("kind", "uid", "words")
-    stop = common_words(texts, common)
-    keyed = band_keys(texts, stop, bands, rows)
-    a, b = keyed.withColumnRenamed("uid", "uid_a"), keyed.withColumnRenamed("uid", "uid_b")
-    candidates = a.join(b, "key").filter("uid_a < uid_b").select("uid_a", "uid_b").distinct()
+    n_texts, often = common_words(texts, common)
+    parts = max(shuffle_partitions(df.sparkSession), -(-n_texts * bands // BAND_ROWS))
+    pairs = candidates(band_keys(texts, often, share, bands, rows), parts, scratch)
     one = texts.groupBy("uid").agg(F.first("kind").alias("kind"), F.first("words").alias("words"))
-    met = candidates.join(one.select(F.col("uid").alias("uid_a"), "kind", F.col("words").alias("words_a")), "uid_a").join(
+    met = pairs.join(one.select(F.col("uid").alias("uid_a"), "kind", F.col("words").alias("words_a")), "uid_a").join(
         one.select(F.col("uid").alias("uid_b"), F.col("words").alias("words_b")), "uid_b"
     )
-    return verified(met, stop, share, bands * rows), base.select("kind", "id", "uid").distinct()
+    links = scratch.keep(verified(met, often, share, bands * rows).select("uid_a", "uid_b", "share"))
+    members = scratch.keep(base.select("id", "uid").distinct())
+    scratch.drop(base)
+    return links, members
 
 
 def near_duplicate_pairs(df: DataFrame, kind_col: str, id_col: str, text_col: str, share: float = 0.65) -> DataFrame:
-    """``id_a`` < ``id_b``: all pairs of different ids of a kind whose texts share at least ``share`` of their words."""
-    links, members = near_duplicates(df, kind_col, id_col, text_col, share)
-    scratch = Scratch(df.sparkSession)
-    links, members = scratch.keep(links.select("uid_a", "uid_b")), scratch.keep(members.select("uid", "id"))
+    """``id_a`` < ``id_b``: all pairs of different ids of a kind whose texts share at least ``share`` of their words.
+
+    The links and members of ``near_duplicates``, expanded; where pairs of copies aren't wanted, ``near_duplicate_groups`` has
+    the same content in one row an id.
+    """
+    links, members = near_duplicates(df, kind_col, id_col, text_col, Scratch(df.sparkSession), share)
     left, right = members.select(F.col("uid").alias("uid_a"), F.col("id").alias("x")), members.select(F.col("uid").alias("uid_b"), F.col("id").alias("y"))
-    across = links.join(left, "uid_a").join(right, "uid_b").filter(F.col("x") != F.col("y"))
-    shared = members.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("uid")
-    copies = members.join(shared, "uid", "left_semi")
-    within = copies.select("uid", F.col("id").alias("x")).join(copies.select("uid", F.col("id").alias("y")), "uid").filter("x < y")
-    return across.select("x", "y").unionByName(within.select("x", "y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
+    across = links.join(left, "uid_a").join(right, "uid_b").filter(F.col("x") != F.col("y")).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return across.unionByName(pairs_within(members, "uid", "id", "id_a", "id_b").select("id_a", "id_b")).distinct()
 
 
 def near_duplicate_groups(df: DataFrame, kind_col: str, id_col: str, text_col: str, share: float = 0.65) -> DataFrame:
@@ -274,9 +317,7 @@ def near_duplicate_groups(df: DataFrame, kind_col: str, id_col: str, text_col: s
     ``n_links`` is the number of other texts that the id's text is linked to; copies are one text and no links of each other.
     Links run between the least ids of texts, so groups of copies are never expanded.
     """
-    links, members = near_duplicates(df, kind_col, id_col, text_col, share)
-    scratch = Scratch(df.sparkSession)
-    links, members = scratch.keep(links.select("uid_a", "uid_b")), scratch.keep(members.select("uid", "id"))
+    links, members = near_duplicates(df, kind_col, id_col, text_col, Scratch(df.sparkSession), share)
     texts = members.groupBy("uid").agg(F.min("id").alias("head"))
     heads = links.join(texts.select(F.col("uid").alias("uid_a"), F.col("head").alias("a")), "uid_a").join(texts.select(F.col("uid").alias("uid_b"), F.col("head").alias("b")), "uid_b").select("a", "b")
     copies = members.join(texts, "uid").filter("id != head").select(F.col("head").alias("a"), F.col("id").alias("b"))
