@@ -12,9 +12,9 @@ def sentence(rng):
 
 def test_structure():
     assert open_object('{"a": "b') and open_object('{"a": [1, 2') and not open_object('{"a": "}\\""}') and not open_object("plain")
-    for text in ('{"reasoning": "whole."', "```json\n{}", "cut…", "cut...", "In one phrase: “stat", "one two \\u00", "ends with blank "):
+    for text in ('{"reasoning": "whole."', "```json\n{}", "cut…", "cut...", "In one phrase: “stat", "one two \\u00", "ends with blank ", "Text <b>bold", "Text <a href='x", "<div>Whole.", "CafÃ© in ParÃ", "Code: ```x", "Cut &#12"):
         assert lost(text)[0], text
-    for text in ('{"reasoning": "whole.", "p": 1}', "```json\n{}\n```", "Whole.", "Whole.\n\n", "A slip [sic inside a text.", "In one phrase: “status quo”"):
+    for text in ('{"reasoning": "whole.", "p": 1}', "```json\n{}\n```", "Whole.", "Whole.\n\n", "A slip [sic inside a text.", "In one phrase: “status quo”", "<div>a<br>b</div>", "1 < 2 and 3 > 2.", "Café", "<p>One.", '{"a": "YES", "note": "All is said."}'):
         assert not lost(text)[0], text
 
 
@@ -43,3 +43,25 @@ def test_cut_and_whole(spark):
     total = {(r.field, r.source): r.n_texts for r in truncation_share(out).collect()}
     assert total[("f", "m")] == 902 and total[("f", None)] == 1
     assert truncated(df.limit(0)).count() == 0
+
+
+def test_limit_of_a_source(spark):
+    rng = random.Random(8)
+    rows, cut = [], set()
+    for i in range(3000):
+        text = ". ".join(sentence(rng) for _ in range(4))
+        source = ("limited", "free")[i % 2]
+        if i % 3 == 0:
+            text = text.rstrip(".")
+        else:
+            text += "."
+        if source == "limited" and len(text) > 230:
+            text = text[:230]
+            if not text.endswith("."):
+                cut.add(i)
+        rows.append(("f", i, source, text))
+    marked = truncated(spark.createDataFrame(rows, "field string, row_id long, source string, text string"))
+    found = {r.row_id for r in marked.collect() if r.cut}
+    assert len(found & cut) >= 0.97 * len(cut) and len(found - cut) <= 0.01 * len(cut)
+    shares = {r.source: r.share for r in truncation_share(marked).collect()}
+    assert shares["limited"] > 0.5 and shares["free"] < 0.01
