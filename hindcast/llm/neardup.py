@@ -37,6 +37,8 @@ GUARANTEE = 0.4
 #: Candidates are dropped before verification only if their estimate lies this many standard deviations below the least that
 #: a pair over the threshold can have, by its sizes: once in a thousand million pairs by chance.
 DEVIATIONS = 6.0
+#: Registers from which a candidate's overlap is estimated, of those that make the bands.
+ESTIMATED = 180
 #: Texts of a band up to which each is paired where it is met; the texts of a larger band are paired in salted parts.
 BAND = 64
 #: Rows of band keys for one shuffle partition.
@@ -241,19 +243,20 @@ def verified(pairs: DataFrame, common: dict[str, tuple[np.ndarray, np.ndarray]],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kinds = batch.column(0).to_pylist()
-            sides = []
-            for c in (3, 4):
-                words, starts = flat_lists(batch.column(c))
-                element, weight = weighed(words, starts, kinds, common)
-                sides.append((words, starts, sketches(element, weight, starts[:-1], count), np.add.reduceat(weight, starts[:-1])))
-            (wa, sa, x, va), (wb, sb, y, vb) = sides
+            kinds, sides = np.array(batch.column(0).to_pylist(), dtype=object), []
+            for c in (1, 2):
+                _, first, place = np.unique(batch.column(c).to_numpy(), return_index=True, return_inverse=True)
+                words, starts = flat_lists(batch.column(c + 2).take(pa.array(first)))
+                element, weight = weighed(words, starts, kinds[first], common)
+                total = np.add.reduceat(weight, starts[:-1])
+                sides.append((np.split(words, starts[1:-1]), place, np.diff(starts)[place], sketches(element, weight, starts[:-1], count)[place], total[place]))
+            (wa, ia, na, x, va), (wb, ib, nb, y, vb) = sides
             more, less = (x > y).sum(1), (x < y).sum(1)
-            least = least_estimate(np.diff(sa), np.diff(sb), va, vb, share)
+            least = least_estimate(na, nb, va, vb, share)
             maybe = joint_estimate(more, less, count - more - less, va, vb) >= least - DEVIATIONS * np.sqrt(least * (1 - least) / count)
             keep, shares = [], []
             for i in np.flatnonzero(maybe):
-                value = overlap(wa[sa[i] : sa[i + 1]], wb[sb[i] : sb[i + 1]])
+                value = overlap(wa[ia[i]], wb[ib[i]])
                 if value >= share:
                     keep.append(int(i))
                     shares.append(value)
@@ -293,7 +296,7 @@ def near_duplicates(
     met = pairs.join(one.select(F.col("uid").alias("uid_a"), "kind", F.col("words").alias("words_a")), "uid_a").join(
         one.select(F.col("uid").alias("uid_b"), F.col("words").alias("words_b")), "uid_b"
     )
-    links = scratch.keep(verified(met, often, share, bands * rows).select("uid_a", "uid_b", "share"))
+    links = scratch.keep(verified(met, often, share, min(ESTIMATED, bands * rows)).select("uid_a", "uid_b", "share"))
     members = scratch.keep(base.select("id", "uid").distinct())
     scratch.drop(base)
     return links, members
