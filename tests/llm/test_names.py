@@ -1,11 +1,13 @@
 import random
 
-from hindcast.llm.names import fits_organisation, fits_person, jaro_winkler, linked_speakers, one_slip, phonetic, reference_keys, similar, spelling
+from hindcast.llm.names import fits_organisation, fits_person, jaro_winkler, linked_speakers, one_slip, nearness, phonetic, reference_keys, similar, speaker_groups, spelling
 
 
 def test_parts():
     assert round(jaro_winkler("martha", "marhta"), 4) == 0.9611 and round(jaro_winkler("dixon", "dicksonx"), 4) == 0.8133
     assert one_slip("volarcott", "volracott") and one_slip("abc", "abcd") and not one_slip("abcd", "badc")
+    assert similar("alexander", "aleksander") and similar("johansson", "johannson") and nearness("volarcott", "volracott") == 1 and nearness("peskesrell", "prskesrell") == 1
+    assert not similar("breanphine", "breorphine") and not similar("vera", "mina") and not similar("abc", "abd")
     assert phonetic("volracott") == phonetic("volarcott")
     assert fits_person(spelling("Rita Dovalund"), "Rosemira Dovalund", "minister", "")[0] == 0
     assert fits_person(spelling("Mina Talvane"), "Vera Talvane", "minister", "")[0] == 0
@@ -50,3 +52,20 @@ def test_links(spark):
     assert got == {("r1", i): LINKED[s] for i, s in enumerate(speakers) if s in LINKED} | {("r2", 0): "alde"}
     assert linked_speakers(events.limit(0), people).count() == 0
     assert linked_speakers(events, people.limit(0)).count() == 0
+
+
+def test_spellings_link_spellings(spark):
+    people = spark.createDataFrame(ACTORS, "actor_id string, name string, kind string, role string, known_as array<string>")
+    outsider = ["Alexander Stormquist", "Aleksander Stormquist", "A. Stormquist", "Stormquist, Alexander", "ALEXANDER STORMQVIST"]
+    chain = ["Lemusgor Volracott", "Lemusgro Volracott", "Lemusgro Volracot"]
+    other = ["Zelavphine Brunenard", "Zelavphine Brunennard", "Mina Brunenard", "M. Ostergaard", "Mina Ostergaard", "Marta Ostergaard"]
+    quotes = [(f, "q", "c") for f in outsider + chain + other]
+    events = spark.createDataFrame([("r", ["lem"], quotes), ("s", None, quotes)], "record_id string, actors array<string>, direct_quotes array<struct<speaker string, quote string, context string>>")
+    rows = speaker_groups(events, people).collect()
+    got = {r.form: (r.group_id, r.actor_id) for r in rows}
+    assert len(rows) == len(got)
+    assert {got[f] for f in outsider} == {(min(outsider), None)}
+    assert {got[f] for f in chain} == {("lem", "lem")}
+    assert got["Zelavphine Brunenard"] == got["Zelavphine Brunennard"] == ("Zelavphine Brunenard", None)
+    assert "M. Ostergaard" not in got and "Mina Brunenard" not in got
+    assert speaker_groups(events.limit(0), people).count() == 0
