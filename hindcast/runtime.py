@@ -97,3 +97,15 @@ def pairs_within(df: DataFrame, key: str, value: str, a: str, b: str, rows: int
     left = salted.select(key, F.pmod(F.xxhash64(value), F.col("salts")).cast("int").alias("salt"), F.col(value).alias(a))
     right = salted.select(key, F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col(value).alias(b))
     return left.join(right, [key, "salt"]).filter(F.col(a) < F.col(b)).select(key, a, b)
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: int = 20_000) -> DataFrame:
+    """Inner join on ``key`` in which no task has more than about ``rows`` rows of ``left`` for one key.
+
+    Keys are counted first (partial counts a task).  One with n rows in ``left`` is spread over ``ceil(n / rows)`` salts, on each
+    of which ``right`` has all of its rows.  Null keys match nothing; the tables share no other column.
+    """
+    counted = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("salts"))
+    spread = left.join(counted, key).withColumn("salt", F.pmod(F.xxhash64(*left.columns), F.col("salts")).cast("int")).drop("salts")
+    repeated = right.join(counted, key).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return spread.join(repeated, [key, "salt"]).drop("salt")
