@@ -10,6 +10,7 @@ Kept apart: case, accents, digits, raised and lowered signs, punctuation, line b
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 import unicodedata
@@ -21,15 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.runtime import Scratch
+from hindcast.runtime import Scratch, pairs_within, split_join
 
-#: Letters of other alphabets and symbols that are drawn like a Latin letter (fixed values, in order of the Latin letters).
+#: Letters of other alphabets and symbols that are drawn like a Latin letter, of Greek, Cyrillic, Armenian, Cherokee, Coptic,
+#: Canadian and Lisu letters those that Unicode's table of confusables has (fixed values, in order of the Latin letters).
 DRAWN_LIKE = {
-    "A": "ΑАᎪ", "B": "ΒВᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ΕЕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "ΗНᎻ", "I": "ΙІӀ", "J": "ЈᎫͿ",
-    "K": "ΚКᏦ", "L": "Ꮮ", "M": "ΜМᎷϺ", "N": "Ν", "O": "ΟОՕ", "P": "ΡРᏢ", "Q": "Ԛ", "R": "Ꭱ", "S": "ЅՏᏚ", "T": "ΤТᎢ",
-    "U": "Ս", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ΧХ", "Y": "ΥҮ", "Z": "ΖᏃ",
-    "a": "аαɑ", "b": "Ьƅ", "c": "сϲᴄ", "d": "ԁ", "e": "е", "f": "ք", "g": "ɡց", "h": "һհ", "i": "іιı", "j": "јϳ",
-    "k": "κкᴋ", "l": "ӏ", "m": "ᴍ", "n": "ո", "o": "оοօᴏ", "p": "рρ", "q": "ԛգ", "r": "гᴦ", "s": "ѕꜱ", "u": "սυᴜ",
+    "A": "ΑАᎪᗅꓮ", "B": "ΒВᏴᗷꓐ", "C": "СϹᏟᑕⲤꓚ", "D": "Ꭰᗞꓓ", "E": "ΕЕᎬꓰ", "F": "Ϝᖴꓝ", "G": "ԌᏀꓖ", "H": "ΗНᎻᕼⲎꓧ", "I": "ΙІӀⲒꓲ", "J": "ЈᎫͿᒍꓙ",
+    "K": "ΚКᏦⲔꓗ", "L": "Ꮮᒪꓡ", "M": "ΜМᎷϺᗰⲘꓟ", "N": "ΝⲚꓠ", "O": "ΟОՕⲞꓳ", "P": "ΡРᏢᑭⲢꓑ", "Q": "Ԛ", "R": "Ꭱᖇꓣ", "S": "ЅՏᏚꓢ", "T": "ΤТᎢⲦꓔ",
+    "U": "Սꓴ", "V": "ѴᏙᐯꓦ", "W": "ԜᎳꓪ", "X": "ΧХⲬꓫ", "Y": "ΥҮⲨꓬ", "Z": "ΖᏃꓜ",
+    "a": "аαɑ", "b": "Ьƅ", "c": "сϲᴄⲥ", "d": "ԁ", "e": "е", "f": "ք", "g": "ɡց", "h": "һհ", "i": "іιı", "j": "јϳ",
+    "k": "κкᴋ", "l": "ӏ", "m": "ᴍ", "n": "ո", "o": "оοօᴏⲟ", "p": "рρⲣ", "q": "ԛգ", "r": "гᴦ", "s": "ѕꜱ", "u": "սυᴜ",
     "v": "ѵνᴠ", "w": "ԝᴡ", "x": "хχ", "y": "уүγ", "z": "ᴢ",
 }
 #: Hyphens of every kind (fixed values).
@@ -44,8 +46,9 @@ def invisible(ch: str) -> bool:
     return unicodedata.category(ch) == "Cf" and not 0x600 <= code <= 0x8FF or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or code in (0x34F, 0x180B, 0x180C, 0x180D)
 
 
-def relation() -> Iterator[tuple[str, str]]:
-    """Pairs of strings that look the same, from rules over all code points and the tables above."""
+def relation(letters: dict[str, str]) -> Iterator[tuple[str, str]]:
+    """Pairs of strings that look the same, from rules over all code points, ``letters`` (a string -> signs drawn like it) and
+    the hyphens above."""
     for code in range(0x80, sys.maxunicode + 1):
         ch = chr(code)
         category = unicodedata.category(ch)
@@ -61,7 +64,7 @@ def relation() -> Iterator[tuple[str, str]]:
                 plain = "".join(chr(int(x, 16)) for x in rest.split())
                 if not (plain.startswith(" ") and len(plain) > 1):
                     yield unicodedata.normalize("NFD", ch), unicodedata.normalize("NFD", plain)
-    for latin, others in DRAWN_LIKE.items():
+    for latin, others in letters.items():
         for ch in others:
             yield ch, latin
     for ch in HYPHENS:
@@ -83,24 +86,20 @@ def classes(pairs: Iterator[tuple[str, str]]) -> dict[str, str]:
     return {x: root(x) for x in parent}
 
 
-MEMBERS: dict[str, str] = {}
+@functools.lru_cache(4)
+def members(letters: tuple[tuple[str, str], ...]) -> dict[str, str]:
+    """The classes, made once in a process.  The table depends on Unicode and ``letters`` only, not on the data."""
+    return classes(relation(dict(letters)))
 
 
-def members() -> dict[str, str]:
-    """The classes, made once in a process.  The table depends on Unicode only, not on the data."""
-    if not MEMBERS:
-        MEMBERS.update(classes(relation()))
-    return MEMBERS
-
-
-def representatives(counts: dict[str, int]) -> dict[str, str]:
+def representatives(counts: dict[str, int], letters: tuple[tuple[str, str], ...] = tuple(DRAWN_LIKE.items())) -> dict[str, str]:
     """Member that the corpus holds -> representative: the class's most frequent member, of equals the shortest, then the first by code point.
 
     A string of several signs counts as its rarest sign.  What isn't drawn at all stays the empty string.
     """
     often = lambda x: min((counts.get(ch, 0) for ch in x), default=0)
     groups: dict[str, list[str]] = {}
-    for x, r in members().items():
+    for x, r in members(letters).items():
         groups.setdefault(r, []).append(x)
     out = {}
     for group in groups.values():
@@ -109,14 +108,14 @@ def representatives(counts: dict[str, int]) -> dict[str, str]:
     return out
 
 
-def member_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
+def member_counts(df: DataFrame, text_col: str = "text", letters: tuple[tuple[str, str], ...] = tuple(DRAWN_LIKE.items())) -> DataFrame:
     """``member`` and ``n``: how often each sign that is, or is part of, a member of a class is found in all decomposed texts.
 
     Every partition sends its own sums only; there are no more rows than the Unicode table has signs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {ch for x in members() for ch in x}
+        known = {ch for x in members(letters) for ch in x}
         total: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -156,31 +155,27 @@ class Rewriter:
         return unicodedata.normalize("NFC", "".join(out))
 
 
-REWRITERS: dict[tuple, Rewriter] = {}
-
+@functools.lru_cache(4)
+def rewriter(counts: tuple[tuple[str, int], ...], letters: tuple[tuple[str, str], ...]) -> Rewriter:
+    return Rewriter(representatives(dict(counts), letters))
 
-def rewriter(counts: dict[str, int]) -> Rewriter:
-    key = tuple(sorted(counts.items()))
-    if key not in REWRITERS:
-        REWRITERS[key] = Rewriter(representatives(counts))
-    return REWRITERS[key]
 
-
-def one_form(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+def one_form(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False, letters: dict[str, str] | None = None) -> DataFrame:
     """``id_col`` and the ``form`` of its text; equal forms are texts that look the same.
 
     A null text has a null form, an empty text an empty one.  Repeated rows come out repeated.  ``hashed``: instead of the
     form its 128-bit digest ``form_key``, the digest ``text_key`` of the text as it is, and ``visible``, whether any sign of it
     is drawn.  Two passes over the texts: sign counts, whose size Unicode bounds (it goes through the driver), then a narrow
-    rewrite.  Columns besides the two are not read.
+    rewrite.  Columns besides the two are not read.  ``letters``: which signs are drawn like a string, else ``DRAWN_LIKE``.
     """
-    counts = {x: n for x, n in member_counts(df, text_col).collect()}
+    table = tuple((DRAWN_LIKE if letters is None else letters).items())
+    counts = tuple(sorted((x, n) for x, n in member_counts(df, text_col, table).collect()))
     kind = df.select(id_col).schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        form = rewriter(counts).form
+        form = rewriter(counts, table).form
         digest = lambda x: None if x is None else hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -196,19 +191,33 @@ def one_form(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, " + ("form_key binary, text_key binary, visible boolean" if hashed else "form string"))
 
 
+def several_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id_col, form_key, text_key`` of rows whose form has different strings, with ``n_texts``, the number of these."""
+    keyed = Scratch(df.sparkSession).keep(one_form(df, id_col, text_col, hashed=True).filter(F.col("visible") & F.col(id_col).isNotNull()).select(id_col, "form_key", "text_key"))
+    several = keyed.select("form_key", "text_key").distinct().groupBy("form_key").agg(F.count(F.lit(1)).alias("n_texts")).filter("n_texts > 1")
+    return keyed.join(several, "form_key")
+
+
+def look_alike_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, group_id, n_links``: one row for each id whose text looks like another string.
+
+    ``group_id`` is the least id with this form, ``n_links`` the number of other strings that look the same; copies are one
+    string.  Null ids and texts and texts without a visible sign have no row; an id with several texts has a row a form.
+    """
+    kept = several_texts(df, id_col, text_col)
+    least = kept.groupBy("form_key").agg(F.min(id_col).alias("group_id"))
+    return kept.join(least, "form_key").select(id_col, "group_id", (F.col("n_texts") - 1).alias("n_links")).distinct()
+
+
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_a`` < ``doc_b``: rows whose texts look the same and are not the same string.
 
-    Null texts and texts without a visible sign are in no pair, exact copies are no pair of each other.  Pairs are made
-    between the different strings of a form and then between their documents, so copies of one text never meet.
+    Null texts and texts without a visible sign are in no pair, exact copies are no pair of each other.  The groups of
+    ``look_alike_groups``, expanded: pairs are made between the different strings of a form and then between their documents,
+    so copies of one text never meet, and no task has all pairs of a form or all documents of a text.
     """
-    keyed = Scratch(df.sparkSession).keep(one_form(df, id_col, text_col, hashed=True).filter("visible").select(id_col, "form_key", "text_key"))
-    several = keyed.select("form_key", "text_key").distinct().groupBy("form_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("form_key")
-    kept = keyed.join(several, "form_key", "left_semi")
-    texts = kept.select("form_key", "text_key").distinct()
-    other = texts.select("form_key", F.col("text_key").alias("other_key"))
-    crossed = texts.join(other, "form_key").filter(F.col("text_key") < F.col("other_key"))
-    first = kept.select(F.col("text_key"), F.col(id_col).alias("x"))
-    second = kept.select(F.col("text_key").alias("other_key"), F.col(id_col).alias("y"))
-    met = crossed.select("text_key", "other_key").join(first, "text_key").join(second, "other_key").filter(F.col("x") != F.col("y"))
+    kept = several_texts(df, id_col, text_col)
+    texts = pairs_within(kept.select("form_key", "text_key").distinct(), "form_key", "text_key", "text_key", "other_key")
+    first = split_join(kept.select("text_key", F.col(id_col).alias("x")), texts.select("text_key", "other_key"), "text_key")
+    met = split_join(kept.select(F.col("text_key").alias("other_key"), F.col(id_col).alias("y")), first.select("other_key", "x"), "other_key").filter(F.col("x") != F.col("y"))
     return met.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
