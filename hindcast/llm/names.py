@@ -64,7 +64,7 @@ def phonetic(token: str) -> str:
 def with_loss(code: str) -> set[str]:
     """A code and, of longer ones, the codes with one class lost, whose neighbours may then be one."""
     lost = (code[:i] + code[i + 1 + (0 < i < len(code) - 1 and code[i - 1] == code[i + 1]) :] for i in range(len(code)))
-    return {code} | (set(lost) if len(code) > 3 else set())
+    return {code} | (set(lost) if len(code) > 4 else set())
 
 
 def less_one(name: str) -> set[str]:
