@@ -26,14 +26,31 @@ def visible(events: DataFrame) -> DataFrame:
     return events.filter("date_confidence <> 'uncertain'")
 
 
-def by_month(events: DataFrame, requests: DataFrame) -> DataFrame:
+def by_month(events: DataFrame, requests: DataFrame, buckets: int = 8) -> DataFrame:
     """Requests (request_id, cutoff, simulation, ...) with the visible records of their window.
 
-    An equi-join on the month, so that neither side is broadcast and the work spreads over months and requests.
+    An equi-join on the month and a bucket of the record's id: a busy month is spread over ``buckets`` tasks, on each of which
+    the requests of its window are repeated.
     """
-    months = requests.withColumn("month", F.explode(F.sequence(F.trunc("cutoff", "month"), F.trunc("simulation", "month"), F.expr("interval 1 month"))))
-    dated = visible(events).withColumn("month", F.trunc("event_date", "month"))
-    return months.join(dated, "month").filter(in_window("event_date", F.col("cutoff"), F.col("simulation"))).drop("month")
+    every = F.explode(F.sequence(F.trunc("cutoff", "month"), F.trunc("simulation", "month"), F.expr("interval 1 month")))
+    months = requests.withColumn("month", every).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
+    dated = visible(events).withColumn("month", F.trunc("event_date", "month")).withColumn("bucket", F.pmod(F.xxhash64("record_id"), F.lit(buckets)).cast("int"))
+    return months.join(dated, ["month", "bucket"]).filter(in_window("event_date", F.col("cutoff"), F.col("simulation"))).drop("month", "bucket")
+
+
+def first_of(rows: DataFrame, by: str, order: list, most: int, limit: str, place: str = "rank") -> DataFrame:
+    """Rows of each ``by`` up to the number in its column ``limit``, numbered in ``order``.
+
+    ``most``, the largest of these numbers, is a constant of the plan, so that each task keeps that many rows of a group before
+    they are shuffled.
+    """
+    ranked = rows.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return ranked.filter(F.col(place) <= F.lit(most)).filter(F.col(place) <= F.col(limit))
+
+
+def largest(df: DataFrame, column: str) -> int:
+    """The largest value of an integer column, 0 of an empty one; one number goes to the driver."""
+    return int(df.agg(F.max(column)).first()[0] or 0)
 
 
 def top_k(events: DataFrame, requests: DataFrame) -> DataFrame:
@@ -50,8 +67,8 @@ def top_k(events: DataFrame, requests: DataFrame) -> DataFrame:
         .filter(F.col("distance") <= FAR)
         .withColumn("weighed", F.round(F.col("distance") * (2 - F.col("confidence")), 9))
     )
-    w = Window.partitionBy("request_id").orderBy(F.col("weighed").asc_nulls_last(), "record_id")
-    return near.withColumn("rank", F.row_number().over(w)).filter("rank <= top_k").select("request_id", "record_id", "rank", F.round("distance", 6).alias("distance"))
+    kept = first_of(near, "request_id", [F.col("weighed").asc_nulls_last(), F.col("record_id")], largest(requests, "top_k"), "top_k")
+    return kept.select("request_id", "record_id", "rank", F.round("distance", 6).alias("distance"))
 
 
 def window_counts(events: DataFrame, requests: DataFrame) -> DataFrame:

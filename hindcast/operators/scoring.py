@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,10 +97,13 @@ def paired(per: DataFrame) -> DataFrame:
 
 
 def binomial_tail(n: Column, k: Column) -> Column:
-    """P(X >= k) for X ~ Bin(n, 1/2), by sums of logarithms."""
-    log_choose = lambda i: F.expr("0D") + F.aggregate(F.sequence(F.lit(1), i), F.lit(0.0), lambda s, j: s + F.log((n - j + 1) / j))
-    term = lambda i: F.when(i == 0, F.exp(-n * F.log(F.lit(2.0)))).otherwise(F.exp(log_choose(F.greatest(i, F.lit(1))) - n * F.log(F.lit(2.0))))
-    return F.when(k > n, F.lit(0.0)).otherwise(F.aggregate(F.sequence(k, F.greatest(k, n)), F.lit(0.0), lambda s, i: s + term(i)))
+    """P(X >= k) for X ~ Bin(n, 1/2) and k >= n / 2, in n steps: the first term by logarithms, each next one from the last."""
+    whole = F.sequence(F.lit(1), F.greatest(n - k, F.lit(1)))
+    log_first = F.aggregate(whole, -n * F.log(F.lit(2.0)), lambda s, j: s + F.when(j <= n - k, F.log((k + j) / j)).otherwise(0.0))
+    first = F.exp(log_first)
+    start = F.struct(first.alias("sum"), first.alias("term"))
+    step = lambda s, i: F.struct((s["sum"] + s["term"] * (n - i) / (i + 1)).alias("sum"), (s["term"] * (n - i) / (i + 1)).alias("term"))
+    return F.when(k > n, F.lit(0.0)).otherwise(F.aggregate(F.sequence(k, F.greatest(k, n)), start, step, lambda s: s["sum"]))
 
 
 def paired_summary(deltas: DataFrame) -> DataFrame:
@@ -124,6 +131,17 @@ def with_before(counted: DataFrame, by: list[str], value: str, weight: str) -> D
     return stepped.join(base, [*by, "step"]).withColumn("before", F.col("base") + inner).drop("step", "base")
 
 
+def medians(deltas: DataFrame) -> DataFrame:
+    """``a, b, n, median``: the middle one of the sorted differences, of an even number the mean of the middle two."""
+    counted = deltas.groupBy("a", "b", "delta").agg(F.count(F.lit(1)).alias("t"))
+    ends = counted.groupBy("a", "b").agg(F.sum("t").alias("n"))
+    placed = with_before(counted, ["a", "b"], "delta", "t").join(ends, ["a", "b"])
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    inside = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("t"))
+    middle = placed.groupBy("a", "b", "n").agg(F.max(F.when(inside(low), F.col("delta"))).alias("x"), F.max(F.when(inside(high), F.col("delta"))).alias("z"))
+    return middle.select("a", "b", "n", r6((F.col("x") + F.col("z")) / 2).alias("median"))
+
+
 def upper_median(deltas: DataFrame) -> DataFrame:
     """``a, b, median``: the value at position n // 2 (from 0) of the sorted differences."""
     counted = deltas.groupBy("a", "b", "delta").agg(F.count(F.lit(1)).alias("t"))
@@ -149,3 +167,42 @@ def wilcoxon(deltas: DataFrame) -> DataFrame:
     mean, var = n * (n + 1) / 4, F.greatest(n * (n + 1) * (2 * n + 1) / 24 - F.col("tied") / 48, F.lit(1e-12))
     gap = least - mean
     return sums.select("a", "b", "n", r6(least).alias("w"), r6((gap - F.signum(gap) * 0.5) / F.sqrt(var)).alias("z"))
+
+
+def bootstrap_intervals(rows: DataFrame, by: list[str], unit: str, value: str, draws: int = 10_000, groups: int = 64) -> DataFrame:
+    """``by``, ``mean, low, high``: mean of ``value`` and its 95 % interval by a Poisson bootstrap with ``draws`` resamples.
+
+    ``rows`` has one row a group and ``unit``.  A unit's weights in all resamples are Poisson(1) numbers from a generator keyed by
+    the unit, so they are the same in every group, run and partitioning.  A task keeps two sums a resample for each of its
+    groups, at most ``groups`` at once; rows with a null value take no part.
+    """
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            names = list(zip(*sums)) or [()] * len(by)
+            lists = lambda i: pa.array([list(v[i]) for v in sums.values()], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([*(pa.array(n, f.type) for n, f in zip(names, fields)), lists(0), lists(1)], names=[*by, "w", "wx"])
+
+        fields: list[pa.Field] = []
+        for batch in batches:
+            fields = [batch.schema.field(i) for i in range(len(by))]
+            columns = [c.to_pylist() for c in batch.columns]
+            for *group, seed, x in zip(*columns):
+                weights = np.random.Generator(np.random.Philox(key=seed & (2**64 - 1))).poisson(1.0, draws)
+                at = sums.setdefault(tuple(group), np.zeros((2, draws)))
+                at[0] += weights
+                at[1] += weights * x
+                if len(sums) >= groups:
+                    yield out()
+                    sums.clear()
+        if sums:
+            yield out()
+
+    clean = rows.filter(F.col(value).isNotNull())
+    partial = clean.select(*by, F.xxhash64(F.col(unit).cast("string")).alias("seed"), F.col(value).cast("double").alias("x")).mapInArrow(run, f"{keys}, w array<double>, wx array<double>")
+    each = partial.select(*by, F.posexplode(F.arrays_zip("w", "wx")).alias("draw", "s")).groupBy(*by, "draw").agg((F.sum("s.wx") / F.nullif(F.sum("s.w"), F.lit(0.0))).alias("m"))
+    ends = each.groupBy(*by).agg(r6(F.percentile("m", 0.025)).alias("low"), r6(F.percentile("m", 0.975)).alias("high"))
+    return clean.groupBy(*by).agg(r6(F.avg(value)).alias("mean")).join(ends, by)

@@ -26,22 +26,24 @@ JSONL = """SELECT experiment, count(*) AS n, count(DISTINCT prediction_id) AS n_
 
 
 def record_index(spark: SparkSession, d: str) -> DataFrame:
-    """Records of 2024 by month in an index to which all deliveries were appended in two parts, each record once."""
+    """Records by month in an index to which all deliveries were appended in two parts, each record once."""
     path, raw = Scratch(spark).base, table(spark, d, "event_records").drop("embedding")
     middle = F.lit("2025-01-01")
     append_absent(raw.filter(F.col("ingestion_date") < middle), path)
     append_absent(raw.filter(F.col("ingestion_date") >= middle), path)
-    return read_index(spark, path, "2024-01", "2024-12").groupBy(F.date_format("event_date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"))
+    return read_index(spark, path, *ALL).groupBy(F.date_format("event_date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"))
 
 
-INDEX = """WITH e AS (SELECT DISTINCT record_id, event_date FROM event_records) SELECT strftime(event_date, '%Y-%m') AS month, count(*) AS n, min(record_id) AS first FROM e WHERE year(event_date) = 2024 GROUP BY 1"""
+#: First and last month of an index, dated or not.
+ALL = ("0000-00", "none")
+INDEX = """WITH e AS (SELECT DISTINCT record_id, event_date FROM event_records) SELECT strftime(event_date, '%Y-%m') AS month, count(*) AS n, min(record_id) AS first FROM e GROUP BY 1"""
 
 
 def streamed_index(spark: SparkSession, d: str) -> DataFrame:
-    """The same months of an index that a stream of the record files filled."""
+    """The same of an index that a stream of the record files filled."""
     base, given = Scratch(spark).base, table(spark, d, "event_records")
     follow(deliveries(spark, f"{d}/event_records.parque[t]", given.schema), f"{base}/index", f"{base}/state").awaitTermination()
-    return read_index(spark, f"{base}/index", "2024-01", "2024-12").groupBy(F.date_format("event_date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"))
+    return read_index(spark, f"{base}/index", *ALL).groupBy(F.date_format("event_date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"))
 
 
 QUERIES = {"jsonl_scan": (jsonl_scan, JSONL), "record_index": (record_index, INDEX), "streamed_index": (streamed_index, INDEX)}

@@ -84,18 +84,18 @@ def answer_objects(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, d: str, draws: int = 10_000) -> DataFrame:
-    """95 % interval of each experiment's mean Brier by a Poisson bootstrap.
-
-    Each question draws a Poisson(1) weight in each resample from a hash of its id and the resample's number, so resamples are
-    sums over questions in any order and any partitioning; the number of resamples is fixed.
-    """
+    """Mean Brier score of each experiment and its 95 % interval by a Poisson bootstrap over questions."""
     per = S.per_question(S.samples(table(spark, d, "predictions"), table(spark, d, "questions"))).select("experiment", "question_id", "brier")
-    drawn = per.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    u = (F.pmod(F.xxhash64("question_id", "draw"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    means = drawn.withColumn("w", weight).groupBy("experiment", "draw").agg((F.sum(F.col("w") * F.col("brier")) / F.sum("w")).alias("mean"))
-    return means.groupBy("experiment").agg(r6(F.percentile("mean", 0.025)).alias("low"), r6(F.percentile("mean", 0.975)).alias("high"))
+    return S.bootstrap_intervals(per, ["experiment"], "question_id", "brier", draws)
+
+
+def significance(spark: SparkSession, d: str, draws: int = 10_000) -> DataFrame:
+    """Each two experiments on the questions both scored: mean difference of Brier scores with its 95 % interval, median, wins,
+    losses, ties and the exact sign test."""
+    deltas = Scratch(spark).keep(S.paired(S.per_question(S.samples(table(spark, d, "predictions"), table(spark, d, "questions")))))
+    intervals = S.bootstrap_intervals(deltas, ["a", "b"], "question_id", "delta", draws)
+    signs = S.sign_test(S.paired_summary(deltas))
+    return intervals.join(S.medians(deltas), ["a", "b"]).join(signs, ["a", "b"])
 
 
-QUERIES = {f.__name__: (f, None) for f in (judged_leaders, title_leaders, event_clusters, answer_objects, bootstrap_ci)}
+QUERIES = {f.__name__: (f, None) for f in (judged_leaders, title_leaders, event_clusters, answer_objects, bootstrap_ci, significance)}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import clamp, r6
 from hindcast.operators import scoring as S
-from hindcast.operators.retrieval import visible
+from hindcast.operators.retrieval import first_of, largest, visible
 from hindcast.plans.retrieval import EV, events
 from hindcast.plans.scoring import AM, GRID, PD, WILCOXON, W, action_means, binary_means, scored
 from hindcast.runtime import Scratch, table
@@ -159,8 +159,8 @@ def briefing_documents(spark: SparkSession, d: str) -> DataFrame:
     asked = table(spark, d, "retrieval_requests").select("request_id", "simulation_date", "model_training_cutoff", "top_k").distinct()
     hits = table(spark, d, "retrieval_hits").groupBy("request_id", "record_id").agg(F.min("hit_rank").alias("hit_rank"))
     seen = visible(events(spark, d)).select("record_id", "event_date", "headline")
-    w = Window.partitionBy("request_id").orderBy("hit_rank", "record_id")
-    ok = hits.join(asked, "request_id").join(seen, "record_id").filter("event_date <= simulation_date").withColumn("place", F.row_number().over(w)).filter("place <= top_k")
+    shown = hits.join(asked, "request_id").join(seen, "record_id").filter("event_date <= simulation_date")
+    ok = first_of(shown, "request_id", ["hit_rank", "record_id"], largest(asked, "top_k"), "top_k", "place")
     line = F.concat("place", F.lit(". ["), F.date_format("event_date", "yyyy-MM-dd"), F.lit("] "), F.trim(F.coalesce("headline", F.lit(""))))
     lines = ok.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))
     head = F.concat(F.lit("Records from "), F.coalesce(F.date_format("model_training_cutoff", "yyyy-MM-dd"), F.lit("?")), F.lit(" to "), F.date_format("simulation_date", "yyyy-MM-dd"), F.lit(": "), F.coalesce("n", F.lit(0)))

@@ -63,18 +63,25 @@ WINDOW_COUNT = f"""
     FROM rq LEFT JOIN ev ON ev.event_date BETWEEN rq.cutoff AND rq.simulation GROUP BY 1"""
 
 
-def model_cutoff_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Records between a model's cutoff and each request's simulation date, by the request's model."""
+def model_cutoff_windows(spark: SparkSession, d: str, strict: bool = False) -> DataFrame:
+    """Records between a model's cutoff and each request's simulation date, by the request's model.
+
+    A model without a cutoff has no window: its requests are counted, its records are null.  ``strict``: it is an error.
+    """
     models = table(spark, d, "model_windows").select(F.lower(F.trim("model_id")).alias("model"), "training_cutoff")
     asked = table(spark, d, "retrieval_requests").select("request_id", "simulation_date", F.lower(F.trim("model_id")).alias("model")).distinct()
-    spans = asked.join(models, "model").select("request_id", "model", F.col("training_cutoff").alias("cutoff"), F.col("simulation_date").alias("simulation"))
-    return spans.join(window_counts(events(spark, d), spans), "request_id").groupBy("model").agg(F.count(F.lit(1)).alias("n_requests"), F.sum("n_in_window").alias("n_records"))
+    cutoff = F.col("training_cutoff")
+    if strict:
+        cutoff = F.coalesce(cutoff, F.raise_error(F.concat(F.lit("no cutoff of model "), F.coalesce("model", F.lit("null")))).cast("date"))
+    spans = asked.join(models, "model", "left").select("request_id", "model", cutoff.alias("cutoff"), F.col("simulation_date").alias("simulation"))
+    counted = spans.join(window_counts(events(spark, d), spans), "request_id").withColumn("n_in_window", F.when(F.col("cutoff").isNotNull(), F.col("n_in_window")))
+    return counted.groupBy("model").agg(F.count(F.lit(1)).alias("n_requests"), F.sum("n_in_window").alias("n_records"))
 
 
 MODEL_CUTOFF_WINDOWS = f"""
     WITH {EV}, a AS (SELECT DISTINCT request_id, simulation_date, lower(trim(model_id)) AS model FROM retrieval_requests),
-    s AS (SELECT a.*, training_cutoff FROM a JOIN model_windows m ON lower(trim(m.model_id)) = a.model)
-    SELECT model, count(DISTINCT request_id) AS n_requests, count(record_id) AS n_records
+    s AS (SELECT a.*, training_cutoff FROM a LEFT JOIN model_windows m ON lower(trim(m.model_id)) = a.model)
+    SELECT model, count(DISTINCT request_id) AS n_requests, CASE WHEN max(training_cutoff) IS NOT NULL THEN count(record_id) END AS n_records
     FROM s LEFT JOIN ev ON ev.date_confidence <> 'uncertain' AND ev.event_date BETWEEN training_cutoff AND simulation_date GROUP BY 1"""
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hindcast.runtime import exists
+
 #: Layout of a prediction line.
 PREDICTION = (
     "prediction_id bigint, question_id string, experiment string, sample_idx int, question_format string, model_id string, temperature double, prompt_hash string, briefing_hash string, "
@@ -48,19 +49,22 @@ def write_keyed(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def append_absent(records: DataFrame, path: str, files_a_month: int = 4) -> None:
+def append_absent(records: DataFrame, path: str, files_a_month: int = 4, moving: bool = False) -> None:
     """Append those records whose id the index at ``path`` lacks, by month of the event, each id once.
 
-    Of rows with one id the first ingested is kept.  The index's ids are the only column read.  A month is spread over
+    Of rows with one id the first ingested is kept.  The index's ids are the only column read, and of the batch's months only:
+    an id that was given is not dated anew (``moving``: it may be, and all months are read).  A month is spread over
     ``files_a_month`` tasks by id, so that a busy month isn't one task's work.  Records without a date go to a month of their own.
     """
     spark = records.sparkSession
-    first = records.filter("record_id is not null").groupBy("record_id").agg(F.min_by(F.struct("*"), F.struct("ingestion_date")).alias("r")).select("r.*")
-    try:
-        new = first.join(spark.read.parquet(path).select("record_id"), "record_id", "left_anti")
-    except AnalysisException:
-        new = first
     month = F.coalesce(F.date_format("event_date", "yyyy-MM"), F.lit("none"))
+    new = records.filter("record_id is not null").groupBy("record_id").agg(F.min_by(F.struct("*"), F.struct("ingestion_date")).alias("r")).select("r.*")
+    if exists(spark, path):
+        known = spark.read.parquet(path)
+        if not moving:
+            months = [r.m for r in records.select(month.alias("m")).distinct().collect()]  # as many as the calendar has
+            known = known.filter(F.col("event_month").cast("string").isin(months))
+        new = new.join(known.select("record_id"), "record_id", "left_anti")
     spread = new.withColumn("event_month", month).repartition("event_month", F.pmod(F.xxhash64("record_id"), F.lit(files_a_month)))
     spread.write.mode("append").partitionBy("event_month").parquet(path)
 

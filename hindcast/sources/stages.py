@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hindcast.runtime import exists
+
 LOG = "run_id string, stage string, ordinal int, written_at timestamp_ntz, path string"
 
 
@@ -22,11 +23,9 @@ class Stages:
         self.spark, self.base, self.names = spark, base.rstrip("/"), names
 
     def log(self) -> DataFrame:
-        """All finished stages; empty if there are none."""
-        try:
-            return self.spark.read.schema(LOG).parquet(f"{self.base}/log")
-        except AnalysisException:
-            return self.spark.createDataFrame([], LOG)
+        """All finished stages; empty if no log was written yet.  A log that can't be read is an error."""
+        path = f"{self.base}/log"
+        return self.spark.read.schema(LOG).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], LOG)
 
     def save(self, run_id: str, stage: str, df: DataFrame, at: dt.datetime | None = None) -> DataFrame:
         """Write a stage and return it read again; a later save of the same stage replaces it for readers."""
