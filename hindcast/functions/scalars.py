@@ -65,6 +65,13 @@ def normal_topics(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(c, normal_topic), lambda x: x != "")))
 
 
+def brier_map_strict(probs: Column, truth: Column, fail: bool = True) -> Column:
+    """Sum of squared errors over the options of an answer; one that lacks the truth is an error, or null."""
+    told = F.aggregate(F.map_entries(probs), F.lit(0.0), lambda s, e: s + F.pow(F.coalesce(e["value"], F.lit(0.0)) - F.when(e["key"] == truth, 1.0).otherwise(0.0), F.lit(2.0)))
+    absent = F.raise_error(F.concat(F.lit("the truth is not among the options: "), truth)).cast("double") if fail else F.lit(None).cast("double")
+    return F.when(F.array_contains(F.map_keys(probs), truth), told).otherwise(absent)
+
+
 def brier_map(probs: Column, truth: Column) -> Column:
     """Sum of squared errors over all options and the truth; a missing truth counts as probability 0."""
     pairs = F.map_entries(probs)

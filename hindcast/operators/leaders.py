@@ -26,15 +26,18 @@ def leader_clusters(nodes: DataFrame, edges: DataFrame, node: str, a: str, b: st
     live = scratch.keep(pairs.join(ids.withColumnRenamed("id", "lo"), "lo", "left_semi").join(ids.withColumnRenamed("id", "hi"), "hi", "left_semi"))
     every = live
     waiting = scratch.keep(live.select(F.col("lo").alias("id")).unionByName(live.select(F.col("hi").alias("id"))).distinct())
-    leaders = ids.join(waiting, "id", "left_anti")
+    leaders = scratch.keep(ids.join(waiting, "id", "left_anti"))
     while not live.isEmpty():
         smaller = live.select(F.col("hi").alias("id")).distinct()
         new = scratch.keep(waiting.join(smaller, "id", "left_anti"))
         taken = live.join(new.withColumnRenamed("id", "lo"), "lo", "left_semi").select(F.col("hi").alias("id")).distinct()
         leaders = leaders.unionByName(new)
         rest = scratch.keep(waiting.join(new, "id", "left_anti").join(taken, "id", "left_anti"))
-        live = scratch.keep(live.join(rest.withColumnRenamed("id", "lo"), "lo", "left_semi").join(rest.withColumnRenamed("id", "hi"), "hi", "left_semi"))
-        waiting = rest
+        left = scratch.keep(live.join(rest.withColumnRenamed("id", "lo"), "lo", "left_semi").join(rest.withColumnRenamed("id", "hi"), "hi", "left_semi"))
+        if live is not every:
+            scratch.drop(live)
+        scratch.drop(waiting)
+        live, waiting = left, rest
     leaders = scratch.keep(leaders.unionByName(waiting))
     led = every.join(leaders.withColumnRenamed("id", "lo"), "lo", "left_semi").groupBy("hi").agg(F.min("lo").alias("leader"))
     joined = ids.join(leaders.withColumn("is_leader", F.lit(True)), "id", "left").join(led, ids["id"] == led["hi"], "left")

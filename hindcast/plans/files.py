@@ -13,7 +13,7 @@ from hindcast.streaming.ingest import deliveries, follow
 
 def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
     """All prediction rows written as JSON lines and read again with the declared schema, summed up by experiment."""
-    path = Scratch(spark).base
+    path = f"{Scratch(spark).base}/lines"
     write_predictions(table(spark, d, "predictions"), path)
     p = read_predictions(spark, path)
     return p.groupBy("experiment").agg(
@@ -27,7 +27,7 @@ JSONL = """SELECT experiment, count(*) AS n, count(DISTINCT prediction_id) AS n_
 
 def record_index(spark: SparkSession, d: str) -> DataFrame:
     """Records by month in an index to which all deliveries were appended in two parts, each record once."""
-    path, raw = Scratch(spark).base, table(spark, d, "event_records").drop("embedding")
+    path, raw = f"{Scratch(spark).base}/index", table(spark, d, "event_records").drop("embedding")
     middle = F.lit("2025-01-01")
     append_absent(raw.filter(F.col("ingestion_date") < middle), path)
     append_absent(raw.filter(F.col("ingestion_date") >= middle), path)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hindcast.plans import known, files, ordered, questions, reports, retrieval, scoring, upkeep
+from hindcast.plans import evidence, experiments, known, files, ordered, questions, reports, retrieval, scoring, upkeep
 
-MODULES = (retrieval, scoring, questions, ordered, upkeep, reports, files)
+MODULES = (retrieval, scoring, questions, ordered, upkeep, reports, experiments, evidence, files)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

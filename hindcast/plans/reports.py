@@ -78,8 +78,13 @@ def action_temperature(spark: SparkSession, d: str, steps: int = 71) -> DataFram
     The array of a question's options is bounded by the options asked; the grid multiplies rows by a constant and its losses
     are partial sums.
     """
+    return fit_action_temperature(action_means(spark, d), steps)
+
+
+def fit_action_temperature(means: DataFrame, steps: int = 71) -> DataFrame:
+    """The same from the ``means`` (experiment, question_id, option, correct_answer, v) of options."""
     hit = (F.col("option") == F.col("correct_answer")).alias("hit")
-    options = action_means(spark, d).groupBy("experiment", "question_id").agg(F.collect_list(F.struct(clamp(F.round("v", 9)).alias("v"), hit)).alias("o"))
+    options = means.groupBy("experiment", "question_id").agg(F.collect_list(F.struct(clamp(F.round("v", 9)).alias("v"), hit)).alias("o"))
     at = options.select("experiment", "o", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("i")).withColumn("t", 0.5 + F.col("i") * (3.5 / (steps - 1)))
     power = lambda x: F.pow(x["v"], 1 / F.col("t"))
     total = F.aggregate("o", F.lit(0.0), lambda s, x: s + power(x))

@@ -83,7 +83,7 @@ def latency_profile(spark: SparkSession, d: str) -> DataFrame:
     """Latency and tokens by model, each call once, errors apart; medians from counts of each latency, not from all calls."""
     once = table(spark, d, "predictions").select("prediction_id", "model_id", "latency_ms", "tokens_out", F.col("error").isNotNull().alias("failed")).distinct()
     counted = once.filter("latency_ms is not null").groupBy("model_id", "failed", "latency_ms").agg(F.count(F.lit(1)).alias("t"))
-    median = counted.groupBy("model_id", "failed").agg(r6(F.percentile("latency_ms", 0.5, "t")).alias("median_ms"))
+    median = counted.groupBy("model_id", "failed").agg(r6(F.percentile("latency_ms", F.lit(0.5), F.col("t"))).alias("median_ms"))
     rest = once.groupBy("model_id", "failed").agg(F.count(F.lit(1)).alias("n"), F.max("latency_ms").alias("max_ms"), r6(F.avg("tokens_out")).alias("mean_out"))
     same = rest["model_id"].eqNullSafe(median["model_id"]) & (rest["failed"] == median["failed"])
     return rest.join(median, same, "left").select(rest["model_id"], rest["failed"], "n", "median_ms", "max_ms", "mean_out")

@@ -39,8 +39,9 @@ def file_system(spark: SparkSession, path: str):
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at ``path``; an empty folder is nothing."""
     files, target = file_system(spark, path)
-    return files.exists(target)
+    return files.exists(target) and len(files.listStatus(target)) > 0
 
 
 class Scratch:

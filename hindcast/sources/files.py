@@ -44,9 +44,21 @@ def read_keyed(spark: SparkSession, path: str, field: str, row_schema: str, key:
     return rows.groupBy(F.col("row")[key].alias("k")).agg(F.max_by("row", F.struct("file", "pos")).alias("row")).select("row.*")
 
 
-def write_keyed(df: DataFrame, path: str) -> None:
-    """A table as JSON lines with a folder for each part, the scalable form of a keyed document."""
-    df.write.mode("overwrite").json(path)
+def write_keyed(df: DataFrame, path: str, *parts: str) -> None:
+    """A table as JSON lines, the scalable form of a keyed document; with ``parts`` a folder for each value of these columns."""
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(*parts) if parts else writer).json(path)
+
+
+def read_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, or an empty one of ``schema`` if nothing was written there yet."""
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def append_keyed(df: DataFrame, path: str, keys: list[str]) -> None:
+    """Append the rows whose ``keys`` the table at ``path`` lacks: a cache that keeps what it has."""
+    new = df.join(df.sparkSession.read.parquet(path).select(*keys), keys, "left_anti") if exists(df.sparkSession, path) else df
+    new.write.mode("append").parquet(path)
 
 
 def append_absent(records: DataFrame, path: str, files_a_month: int = 4, moving: bool = False) -> None:
