@@ -79,8 +79,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_share, p4_found, p4_groups, p5_found, p6_ids, p7_windows, p8_found, p8_groups, p8_forms)}
 
 
+#: Texts of problem 1 as lists of word hashes, each with the number of its occurrence, so that lists are sets; ``u`` has each
+#: list once (r), ``m`` the ids that hold it, ``l`` the links between lists.
+NEAR = """t AS (SELECT DISTINCT 'event' AS kind, record_id AS id, concat_ws(' ', headline, summary) AS x FROM event_records WHERE length(summary) > 0
+      UNION ALL SELECT DISTINCT 'question', question_id, question_text FROM questions WHERE question_text IS NOT NULL),
+    w AS (SELECT kind, id, x, unnest(regexp_extract_all(lower(x), '[\\p{L}\\p{N}_]+')) AS w FROM t),
+    n AS (SELECT kind, id, x, hash(w, row_number() OVER (PARTITION BY kind, id, x, w)) AS e FROM w),
+    g AS (SELECT kind, id, x, list_sort(list(e)) AS es FROM n GROUP BY ALL),
+    u AS MATERIALIZED (SELECT kind, es, len(es) AS k, row_number() OVER () AS r FROM (SELECT DISTINCT kind, es FROM g)),
+    m AS (SELECT DISTINCT g.id, u.r FROM g JOIN u ON g.kind = u.kind AND g.es = u.es),
+    c AS (SELECT a.r AS ra, b.r AS rb, a.k AS ka, b.k AS kb, len(list_intersect(a.es, b.es)) AS i FROM u a JOIN u b ON a.kind = b.kind AND a.r < b.r AND least(a.k, b.k) >= 0.65 * greatest(a.k, b.k)),
+    l AS (SELECT ra, rb FROM c WHERE i / (ka + kb - i) >= 0.65),
+    p AS (SELECT DISTINCT least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM (SELECT ra, rb FROM l UNION ALL SELECT r, r FROM u) z JOIN m x ON x.r = z.ra JOIN m y ON y.r = z.rb WHERE x.id <> y.id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"WITH {NEAR} SELECT id_a, id_b FROM p",
+        "p1_groups": f"""WITH RECURSIVE {NEAR}, s AS (SELECT id_a AS a, id_b AS b FROM p UNION SELECT id_b, id_a FROM p), h(id, g) AS (SELECT a, a FROM s UNION SELECT s.b, h.g FROM h JOIN s ON s.a = h.id),
+            d AS (SELECT r, count(*) AS n FROM (SELECT ra AS r FROM l UNION ALL SELECT rb FROM l) GROUP BY 1), k AS (SELECT m.id, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n_links FROM m LEFT JOIN d USING (r) GROUP BY 1)
+            SELECT id, min(g) AS group_id, any_value(n_links) AS n_links FROM h JOIN k USING (id) GROUP BY 1""",
         "p5_found": """
             WITH RECURSIVE e AS (SELECT question_a_id a, question_b_id b FROM similarity_scores WHERE score >= 3 AND question_a_id <> question_b_id),
             s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
