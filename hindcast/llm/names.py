@@ -366,7 +366,8 @@ def best_fits(judged: DataFrame) -> DataFrame:
 
 def reference_fits(forms: DataFrame, people: DataFrame, scratch: Scratch) -> DataFrame:
     """``form, actor_id, fit, n_fit``: the reference names that each of ``forms`` (form) fits best."""
-    with_keys = scratch.keep(keyed(forms, ["form"], lambda r: spelling(r["form"]).keys()))
+    spread = forms.repartition(shuffle_partitions(forms.sparkSession), "form")  # a small kept table is read by one task
+    with_keys = scratch.keep(keyed(spread, ["form"], lambda r: spelling(r["form"]).keys()))
     names = lambda p: keyed(p, ["actor_id", "name", "kind", "known_as"], lambda r: reference_keys(r["name"], r["kind"], "|".join(k for k in r["known_as"] or () if k)))
 
     def match(f: DataFrame, p: DataFrame) -> DataFrame:
