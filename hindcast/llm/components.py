@@ -8,7 +8,7 @@ changes nothing, every record hangs on the least identifier of its component.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from hindcast.runtime import Scratch, hot_keys
@@ -17,12 +17,11 @@ from hindcast.runtime import Scratch, hot_keys
 PARTS = 1000
 
 
-def with_least(edges: DataFrame, least: DataFrame, key: str, rows: int) -> DataFrame:
+def with_least(edges: DataFrame, least: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """``edges`` left-joined with ``least`` (hub, least; one row a hub) on ``key``.
 
-    Hot keys are taken out of the shuffle: they are fewer than PARTS rows by counting, and are broadcast.
+    ``hot`` (hub) are taken out of the shuffle: they are fewer than PARTS rows by counting, and are broadcast.
     """
-    hot = hot_keys(edges, key, rows, PARTS).select(F.col(key).alias("hub"))
     hot_least = hot.join(least, "hub", "left").withColumn("hot", F.lit(True))
     marked = edges.join(F.broadcast(hot_least), edges[key] == hot_least["hub"], "left").drop("hub")
     busy = marked.filter("hot").drop("hot")
@@ -31,25 +30,29 @@ def with_least(edges: DataFrame, least: DataFrame, key: str, rows: int) -> DataF
 
 
 def least_lower(edges: DataFrame) -> DataFrame:
-    return edges.groupBy(F.col("hi").alias("hub")).agg(F.min("lo").alias("least"))
+    return edges.groupBy(F.col("hi").alias("hub")).agg(F.min("lo").alias("least"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def large_star(edges: DataFrame, rows: int) -> DataFrame:
-    joined = with_least(edges, least_lower(edges), "lo", rows)
+    hot = hot_keys(edges, "lo", rows, PARTS).select(F.col("lo").alias("hub"))
+    joined = with_least(edges, least_lower(edges).select("hub", "least"), "lo", hot)
     return joined.select("hi", F.coalesce("least", "lo").alias("lo")).distinct()
 
 
 def small_star(edges: DataFrame, rows: int) -> DataFrame:
-    least = least_lower(edges)
-    joined = with_least(edges, least, "hi", rows)
+    counted = least_lower(edges)
+    hot, least = counted.filter(F.col("n_rows") * PARTS > F.lit(rows)).select("hub"), counted.select("hub", "least")
+    joined = with_least(edges, least, "hi", hot)
     moved = joined.filter(F.col("lo") != F.col("least")).select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
     return moved.unionByName(least.select(F.col("hub").alias("hi"), F.col("least").alias("lo"))).distinct()
 
 
-def state(edges: DataFrame) -> tuple[int, int]:
-    """Rows and an order-free fingerprint of an edge list; two numbers go to the driver."""
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return row[0], int(row[1] or 0)
+def kept_with_state(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple[int, int]]:
+    """The written edge list, and its rows and an order-free fingerprint, observed while it was written."""
+    seen = Observation()
+    row = F.xxhash64("hi", "lo").cast("decimal(38,0)")
+    kept = scratch.keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(row).alias("hash")))
+    return kept, (seen.get["n"], int(seen.get["hash"] or 0))
 
 
 def connected_components(pairs: DataFrame, a: str, b: str, node: str = "node_id", group: str = "group_id") -> DataFrame:
@@ -62,16 +65,13 @@ def connected_components(pairs: DataFrame, a: str, b: str, node: str = "node_id"
     spark = pairs.sparkSession
     scratch = Scratch(spark)
     left, right = F.col(a), F.col(b)
-    edges = scratch.keep(
-        pairs.filter(left.isNotNull() & right.isNotNull() & (left != right)).select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")).distinct()
-    )
-    before = state(edges)
+    linked = pairs.filter(left.isNotNull() & right.isNotNull() & (left != right))
+    edges, before = kept_with_state(linked.select(F.greatest(left, right).alias("hi"), F.least(left, right).alias("lo")).distinct(), scratch)
     while True:
         wide = scratch.keep(large_star(edges, before[0]))
-        narrow = scratch.keep(small_star(wide, before[0]))
-        scratch.drop(wide)
-        scratch.drop(edges)
-        now, edges = state(narrow), narrow
+        narrow, now = kept_with_state(small_star(wide, before[0]), scratch)
+        scratch.drop(wide, edges)
+        edges = narrow
         if now == before:
             break
         before = now
