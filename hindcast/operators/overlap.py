@@ -13,7 +13,8 @@ def overlap_pairs(items: DataFrame, least: float) -> DataFrame:
 
     ``items``: ``key`` (unique), ``words`` (distinct words), ``here`` (its block) and ``near`` (blocks in which it may find
     partners, its own among them).  With words in order of rarity, texts that are alike share one of each other's first
-    ``n - ceil(n * least) + 1`` words, so only those are join keys; candidates are verified on all words.  Items without words
+    ``n - ceil(n * least) + 1`` words, so only those are join keys; texts whose
+    sizes differ too much are dropped where they meet, other candidates are verified on all words.  Items without words
     or with nulls are in no pair.
     """
     ready = items.dropna().filter("size(words) > 0")
@@ -21,11 +22,12 @@ def overlap_pairs(items: DataFrame, least: float) -> DataFrame:
     counts = long.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     ordered = long.join(counts, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
     size = F.size("o")
-    heads = ordered.select("key", F.explode(F.slice("o", F.lit(1), size - F.ceil(size * least - SLACK).cast("int") + 1)).alias("w")).select("key", "w.word")
+    heads = ordered.select("key", size.alias("n"), F.explode(F.slice("o", F.lit(1), size - F.ceil(size * least - SLACK).cast("int") + 1)).alias("w")).select("key", "n", "w.word")
     placed = heads.join(ready.select("key", "here", "near"), "key")
-    left = placed.select("word", F.col("here").alias("block"), F.col("key").alias("a"))
-    right = placed.select("word", F.explode("near").alias("block"), F.col("key").alias("b"))
-    pairs = left.join(right, ["word", "block"]).filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = placed.select("word", F.col("here").alias("block"), F.col("key").alias("a"), F.col("n").alias("n_a"))
+    right = placed.select("word", F.explode("near").alias("block"), F.col("key").alias("b"), F.col("n").alias("n_b"))
+    near_size = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - SLACK
+    pairs = left.join(right, ["word", "block"]).filter(near_size & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     texts = ready.select("key", "words")
     met = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("words_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("words").alias("words_b")), "b")
     share = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
