@@ -41,9 +41,9 @@ def any_date(c: Column | str) -> Column:
 
 
 def words(c: Column | str) -> Column:
-    """Lower-case words between blanks."""
+    """Lower-case words between blanks of any kind (Unicode's separators and the control signs that count as blanks)."""
     col = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.split(F.lower(col), "[ \\t\\r\\n]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(col), "[\\s\\x0b\\x1c-\\x1f\\x85\\pZ]+"), lambda w: w != "")
 
 
 def netloc(c: Column | str) -> Column:

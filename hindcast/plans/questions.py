@@ -168,7 +168,7 @@ def title_edges(spark: SparkSession, d: str, least: float = 0.6) -> DataFrame:
     return overlap_pairs(items, least).select(F.col("a").alias("words_a"), F.col("b").alias("words_b"), r6("share").alias("share"))
 
 
-TITLE_EDGES = f"""WITH {Q}, t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[ \\t\\r\\n]+'), lambda w: w <> ''))) AS w FROM qq WHERE length(trim(title)) > 0),
+TITLE_EDGES = f"""WITH {Q}, t AS (SELECT DISTINCT list_sort(list_distinct(list_filter(regexp_split_to_array(lower(title), '[\\s\\x0b\\x1c-\\x1f\\x85\\pZ]+'), lambda w: w <> ''))) AS w FROM qq WHERE length(trim(title)) > 0),
     u AS (SELECT w, array_to_string(w, ' ') AS s, len(w) AS n FROM t), p AS (SELECT x.s AS words_a, z.s AS words_b, len(list_intersect(x.w, z.w)) / greatest(x.n, z.n) AS share FROM u x JOIN u z ON x.s < z.s AND least(x.n, z.n) >= 0.59 * greatest(x.n, z.n))
     SELECT words_a, words_b, round(share, 6) AS share FROM p WHERE share >= 0.6 - 1e-9"""
 
@@ -203,7 +203,7 @@ def word_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 COUNTS = """WITH ev AS (SELECT * FROM event_records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingestion_date) = 1)
-    SELECT record_id, len(list_filter(regexp_split_to_array(lower(summary), '[ \\t\\r\\n]+'), lambda w: w <> '')) AS n_words, CASE WHEN length(summary) <= 500 THEN summary ELSE substr(summary, 1, 500) || '…' END AS snippet FROM ev WHERE summary IS NOT NULL"""
+    SELECT record_id, len(list_filter(regexp_split_to_array(lower(summary), '[\\s\\x0b\\x1c-\\x1f\\x85\\pZ]+'), lambda w: w <> '')) AS n_words, CASE WHEN length(summary) <= 500 THEN summary ELSE substr(summary, 1, 500) || '…' END AS snippet FROM ev WHERE summary IS NOT NULL"""
 
 
 QUERIES = {

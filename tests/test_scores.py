@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hindcast.functions.scalars import brier_map, cosine_distance, host, netloc, normal_topics
+from hindcast.functions.scalars import brier_map, cosine_distance, host, netloc, normal_topics, words
 from hindcast.operators import scoring as S
 
 
@@ -36,6 +36,12 @@ def test_hosts_and_topics(spark):
     assert one(spark, normal_topics("t"), t=("array<string>", [" Trade-Policy", "trade policy", "", "tax"])) == ["tax", "trade_policy"]
 
 
+def test_words_between_any_blanks(spark):
+    text = "\u2003Two\u00a0Words\x0band\x1cmore\u3000here\x85now\u2028 end \u200bzero"
+    assert one(spark, words("t"), t=("string", text)) == text.lower().split()
+    assert one(spark, words("t"), t=("string", " \u00a0 ")) == []
+
+
 @pytest.mark.parametrize("wins,losses,p", [(50, 46, 0.7596), (45, 48, 0.8358), (41, 51, 0.3481), (47, 40, 0.5203), (51, 45, 0.6101), (0, 0, 1.0), (3, 0, 0.25)])
 def test_sign_test_published(spark, wins, losses, p):
     df = spark.createDataFrame([("a", "b", wins, losses)], "a string, b string, wins long, losses long")
