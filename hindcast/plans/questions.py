@@ -136,16 +136,23 @@ SEARCH = """WITH h AS (SELECT DISTINCT request_id, record_id, hit_rank FROM retr
 
 
 def paraphrase_merge(spark: SparkSession, d: str, cap: int = 50) -> DataFrame:
-    """Hits of requests with the same simulation date and model merged: first occurrence wins, at most ``cap``."""
-    asked = table(spark, d, "retrieval_requests").select("request_id", "simulation_date", "model_id").distinct()
-    hits = table(spark, d, "retrieval_hits").select("request_id", "record_id", "hit_rank").distinct().join(asked, "request_id")
-    first = hits.groupBy("simulation_date", "model_id", "record_id").agg(F.min(F.struct("request_id", "hit_rank")).alias("at"))
-    w = Window.partitionBy("simulation_date", "model_id").orderBy("at.request_id", "at.hit_rank", "record_id")
-    return first.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap).select("simulation_date", "model_id", "record_id", "place")
-
-
-PARAPHRASE = """WITH a AS (SELECT DISTINCT request_id, simulation_date, model_id FROM retrieval_requests), h AS (SELECT DISTINCT request_id, record_id, hit_rank FROM retrieval_hits),
-    f AS (SELECT simulation_date, model_id, record_id, request_id, hit_rank FROM h JOIN a USING (request_id) QUALIFY row_number() OVER (PARTITION BY simulation_date, model_id, record_id ORDER BY request_id, hit_rank) = 1),
+    """Hits of requests with the same simulation date and model merged: of n requests each gives its first ``cap // n`` hits (one
+    at least), the first occurrence of a record wins, at most ``cap`` are kept."""
+    group = ["simulation_date", "model_id"]
+    asked = table(spark, d, "retrieval_requests").select("request_id", *group).distinct()
+    shares = asked.groupBy(*group).agg(F.greatest(F.lit(1), F.floor(F.lit(cap) / F.count(F.lit(1)))).alias("share"))
+    hits = table(spark, d, "retrieval_hits").groupBy("request_id", "record_id").agg(F.min("hit_rank").alias("hit_rank"))
+    own = Window.partitionBy("request_id").orderBy("hit_rank", "record_id")
+    ranked = hits.withColumn("own", F.row_number().over(own)).filter(F.col("own") <= cap).join(asked, "request_id").join(shares, group).filter("own <= share")
+    first = ranked.groupBy(*group, "record_id").agg(F.min(F.struct("request_id", "hit_rank")).alias("at"))
+    w = Window.partitionBy(*group).orderBy("at.request_id", "at.hit_rank", "record_id")
+    return first.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= cap).select(*group, "record_id", "place")
+
+
+PARAPHRASE = """WITH a AS (SELECT DISTINCT request_id, simulation_date, model_id FROM retrieval_requests), n AS (SELECT simulation_date, model_id, greatest(1, 50 // count(*)) AS share FROM a GROUP BY 1, 2),
+    h AS (SELECT request_id, record_id, min(hit_rank) AS hit_rank FROM retrieval_hits GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hit_rank, record_id) AS own FROM h),
+    f AS (SELECT simulation_date, model_id, record_id, request_id, hit_rank FROM o JOIN a USING (request_id) JOIN n USING (simulation_date, model_id) WHERE own <= share
+          QUALIFY row_number() OVER (PARTITION BY simulation_date, model_id, record_id ORDER BY request_id, hit_rank) = 1),
     p AS (SELECT simulation_date, model_id, record_id, row_number() OVER (PARTITION BY simulation_date, model_id ORDER BY request_id, hit_rank, record_id) AS place FROM f) SELECT * FROM p WHERE place <= 50"""
 
 
