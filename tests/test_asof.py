@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import numpy as np
 from hypothesis import given, settings
@@ -36,3 +37,16 @@ def test_as_known_join_cases(spark):
     assert sorted(map(tuple, out.collect())) == [("a", day(2), day(3), 1), ("a", day(10), day(12), 5)]
     assert as_known_join(events.limit(0), versions, "actor", "event", "sim", "valid", "pub", "id").count() == 0
     assert as_known_join(events, versions.limit(0), "actor", "event", "sim", "valid", "pub", "id").count() == 0
+
+
+def test_ranges_of_versions_give_the_same(spark):
+    rng = random.Random(3)
+    at = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(200))
+    events = spark.createDataFrame([(rng.choice("ab"), at(), at(), i) for i in range(300)], "actor string, event date, sim date, range long")
+    versions = spark.createDataFrame([(rng.choice("aaaab"), at(), at(), i) for i in range(120)], "actor string, valid date, pub date, id long")
+    rows = lambda n: sorted(map(tuple, as_known_join(events, versions, "actor", "event", "sim", "valid", "pub", "id", per_range=n).collect()))
+    whole, vs = rows(1000), versions.collect()
+    best = lambda a, e, k: max(((v.valid, v.pub, v.id) for v in vs if v.actor == a and v.valid <= e and v.pub <= k), default=None)
+    asked = {(r.actor, r.event, r.sim) for r in events.collect()}
+    assert whole == sorted((*x, best(*x)[2]) for x in asked if best(*x))
+    assert rows(50) == whole and rows(0) == whole
