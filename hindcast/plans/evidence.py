@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions.scalars import normal_topics, words
+from hindcast.functions.scalars import netloc, normal_topics, words
 from hindcast.operators.leaders import key_leaders
 from hindcast.operators.overlap import overlap_pairs
 from hindcast.operators.retrieval import one_of_each
+from hindcast.plans.ordered import event_clusters
 from hindcast.plans.retrieval import EV, NORMAL, events
 from hindcast.plans.questions import Q, questions
 from hindcast.runtime import Scratch, table
@@ -128,6 +129,25 @@ RANKS = f"""WITH {Q}, x AS (SELECT unnest([{{'s': 'domain', 'v': coalesce(domain
     n AS (SELECT e.s AS slice, e.v AS value, count(*) AS n FROM x GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY slice ORDER BY n DESC, value) AS place FROM n"""
 
 
+def canonical_actors(spark: SparkSession, d: str) -> DataFrame:
+    """Actors of each record in order, plain names replaced by the one actor who bears or is known by them, whatever the case.
+
+    A name of several actors, or of none, stays as written, trimmed.  A record without actors has no row.
+    """
+    actors = table(spark, d, "actors")
+    names = actors.select("actor_id", F.explode(F.concat(F.array("name"), F.coalesce("known_as", F.array()))).alias("name"))
+    of_name = names.groupBy(F.lower(F.trim("name")).alias("key")).agg(F.min("actor_id").alias("known"), F.count_distinct("actor_id").alias("n")).filter("n = 1").drop("n")
+    written = events(spark, d).select("record_id", F.posexplode("actors").alias("pos", "name")).withColumn("key", F.lower(F.trim("name")))
+    read = written.join(of_name, "key", "left").select("record_id", F.struct("pos", F.coalesce("known", F.trim("name")).alias("name")).alias("a"))
+    return read.groupBy("record_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("a")), lambda a: a["name"]), "|").alias("actors"))
+
+
+CANONICAL = f"""WITH {EV}, k AS (SELECT lower(trim(name)) AS key, actor_id FROM actors UNION SELECT lower(trim(x)) AS key, actor_id FROM (SELECT unnest(known_as) AS x, actor_id FROM actors)),
+    n AS (SELECT key, min(actor_id) AS known FROM k GROUP BY 1 HAVING count(DISTINCT actor_id) = 1),
+    a AS (SELECT record_id, unnest(actors) AS name, generate_subscripts(actors, 1) AS pos FROM ev)
+    SELECT record_id, coalesce(string_agg(coalesce(known, trim(name)), '|' ORDER BY pos), '') AS actors FROM a LEFT JOIN n ON n.key = lower(trim(a.name)) GROUP BY 1"""
+
+
 def domain_export(spark: SparkSession, d: str) -> DataFrame:
     """Questions written as JSON lines, a folder a domain, and read again: how many each folder holds, of how many seeds."""
     path = Scratch(spark).base + "/seeds"
@@ -141,11 +161,9 @@ EXPORT = """WITH q AS (SELECT question_id, min(seed_id) AS seed_id, min(coalesce
     SELECT domain, count(*) AS n, count(DISTINCT seed_id) AS n_seeds FROM q GROUP BY 1"""
 
 
-def merged_records(spark: SparkSession, d: str) -> DataFrame:
-    """Records of each lead actor's day merged: facts stripped, once each and sorted, topics in normal form, quotes once each
+def merged(e: DataFrame, by: list[str]) -> DataFrame:
+    """Records that agree in ``by`` merged: facts stripped, once each and sorted, topics in normal form, quotes once each
     whatever their case, the speaker as the first record has them."""
-    e = events(spark, d).withColumn("actor_id", F.get("actors", F.lit(0))).filter("actor_id is not null")
-    by = ["actor_id", "event_date"]
     facts = e.select(*by, F.explode("key_facts").alias("fact")).select(*by, F.trim("fact").alias("fact")).filter("fact <> ''").distinct()
     topics = e.select(*by, F.explode(normal_topics("topics")).alias("topic")).distinct()
     quotes = e.select(*by, "record_id", F.posexplode("direct_quotes").alias("pos", "q")).select(*by, "record_id", "pos", F.lower(F.trim("q.quote")).alias("said"), F.col("q.speaker").alias("speaker")).filter("said <> ''")
@@ -157,6 +175,39 @@ def merged_records(spark: SparkSession, d: str) -> DataFrame:
     return out.select(*by, "n", "first", F.coalesce("facts", F.lit("")).alias("facts"), F.coalesce("topics", F.lit("")).alias("topics"), F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"), F.coalesce("n_spoken", F.lit(0)).alias("n_spoken"))
 
 
+def merged_records(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each lead actor's day merged."""
+    return merged(events(spark, d).withColumn("actor_id", F.get("actors", F.lit(0))).filter("actor_id is not null"), ["actor_id", "event_date"])
+
+
+def voted_dates(e: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, event_date, date_confidence: the day that most records with a day name, ties to the first record by id.
+
+    High if two or more records name it and none another, medium with more than half of the votes, else uncertain.  A group
+    without a vote has no row.
+    """
+    votes = e.filter("event_date_precision = 'day' and event_date is not null").groupBy(*by, "event_date").agg(F.count(F.lit(1)).alias("n"), F.min("record_id").alias("first"))
+    best = votes.groupBy(*by).agg(F.min_by(F.struct("event_date", "n"), F.struct(-F.col("n"), "first")).alias("b"), F.sum("n").alias("all"))
+    sure = F.when((F.col("b.n") == F.col("all")) & (F.col("all") >= 2), "high").when(F.col("b.n") * 2 > F.col("all"), "medium").otherwise("uncertain")
+    return best.select(*by, "b.event_date", sure.alias("date_confidence"))
+
+
+def named_sources(e: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, urls, hosts: sources once a URL, the first record's first, with their hosts as names."""
+    s = e.select(*by, "record_id", F.posexplode("sources").alias("pos", "s")).select(*by, "record_id", "pos", F.col("s.url").alias("url")).filter("url <> ''")
+    once = s.groupBy(*by, "url").agg(F.min(F.struct("record_id", "pos")).alias("at"))
+    listed = once.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("at", "url"))).alias("u")).select(*by, F.col("u.url").alias("urls"))
+    return listed.select(*by, F.array_join("urls", "|").alias("urls"), F.array_join(F.transform("urls", netloc), "|").alias("hosts"))
+
+
+def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Records of each event of ``event_clusters`` merged, with the voted date and all sources."""
+    scratch = Scratch(spark)
+    e = scratch.keep(events(spark, d).join(event_clusters(spark, d), "record_id"))
+    by = ["leader"]
+    return merged(e, by).join(voted_dates(e, by), by, "left").join(named_sources(e, by), by, "left")
+
+
 MERGED = f"""WITH {EV}, e AS (SELECT *, actors[1] AS actor_id FROM ev WHERE actors[1] IS NOT NULL), b AS (SELECT actor_id, event_date, count(*) AS n, min(record_id) AS first FROM e GROUP BY 1, 2),
     f AS (SELECT actor_id, event_date, string_agg(fact, '|' ORDER BY fact) AS facts FROM (SELECT DISTINCT actor_id, event_date, trim(x) AS fact FROM (SELECT actor_id, event_date, unnest(key_facts) AS x FROM e)) WHERE fact <> '' GROUP BY 1, 2),
     t AS (SELECT actor_id, event_date, string_agg(topic, '|' ORDER BY topic) AS topics FROM (SELECT DISTINCT actor_id, event_date, unnest({NORMAL}) AS topic FROM e) GROUP BY 1, 2),
@@ -215,6 +266,8 @@ QUERIES = {
     "earliest_cutoff": (earliest_cutoff, f"WITH {EV}, c AS (SELECT min(training_cutoff) AS cutoff FROM model_windows) SELECT cutoff, count(*) AS n, count(*) FILTER (event_date <= cutoff) AS n_before FROM ev, c GROUP BY 1"),
     "value_ranks": (value_ranks, RANKS),
     "domain_export": (domain_export, EXPORT),
+    "canonical_actors": (canonical_actors, CANONICAL),
     "merged_records": (merged_records, MERGED),
+    "merged_clusters": (merged_clusters, None),
     "new_records": (new_records, None),
 }

@@ -20,13 +20,23 @@ def judged_leaders(spark: SparkSession, d: str) -> DataFrame:
     return leader_clusters(table(spark, d, "questions"), pairs, "question_id", "question_a_id", "question_b_id")
 
 
-def title_leaders(spark: SparkSession, d: str, alike: float = 0.8) -> DataFrame:
-    """Different titles (as sorted words) in order, each kept unless a kept one shares ``alike`` of the words of the longer."""
-    titles = table(spark, d, "questions").filter("length(trim(title)) > 0").select(F.array_sort(F.array_distinct(words("title"))).alias("words")).distinct()
-    items = titles.select(F.array_join("words", " ").alias("key"), "words", F.lit(0).alias("here"), F.array(F.lit(0)).alias("near"))
+def text_leaders(texts: DataFrame, column: str, alike: float = 0.8) -> DataFrame:
+    """Different texts (as sorted words) in order, each kept unless a kept one shares ``alike`` of the words of the longer."""
+    bags = texts.select(F.array_sort(F.array_distinct(words(column))).alias("words")).filter("size(words) > 0").distinct()
+    items = bags.select(F.array_join("words", " ").alias("key"), "words", F.lit(0).alias("here"), F.array(F.lit(0)).alias("near"))
     return leader_clusters(items, overlap_pairs(items, alike), "key", "a", "b")
 
 
+def title_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of questions, each kept unless it is like a kept one."""
+    return text_leaders(table(spark, d, "questions"), "title")
+
+
+def query_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of requests, each kept unless it is like a kept one, so that a search is made once."""
+    return text_leaders(table(spark, d, "retrieval_requests"), "query")
+
+
 def coded_texts(texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``text, w``: the words of each of ``texts`` (text, words) as numbers, the rarest first."""
     long = texts.select("text", F.explode("words").alias("word"))
@@ -98,4 +108,4 @@ def significance(spark: SparkSession, d: str, draws: int = 10_000) -> DataFrame:
     return intervals.join(S.medians(deltas), ["a", "b"]).join(signs, ["a", "b"])
 
 
-QUERIES = {f.__name__: (f, None) for f in (judged_leaders, title_leaders, event_clusters, answer_objects, bootstrap_ci, significance)}
+QUERIES = {f.__name__: (f, None) for f in (judged_leaders, title_leaders, query_leaders, event_clusters, answer_objects, bootstrap_ci, significance)}

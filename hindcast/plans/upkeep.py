@@ -9,7 +9,7 @@ from hindcast.functions.scalars import any_date, host, iso_date, r6, words
 from hindcast.operators.leaders import leader_clusters
 from hindcast.operators.overlap import overlap_pairs
 from hindcast.operators.retrieval import one_of_each
-from hindcast.runtime import table
+from hindcast.runtime import Scratch, table
 
 Q = "qq AS (SELECT * FROM questions QUALIFY row_number() OVER (PARTITION BY question_id) = 1)"
 EV = "ev AS (SELECT * FROM event_records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingestion_date) = 1)"
@@ -112,6 +112,24 @@ def seed_merge(spark: SparkSession, d: str, days: int = 3, alike: float = 0.5) -
     return led.select(F.substring("key", 12, 1000).alias("question_id"), F.substring("leader", 12, 1000).alias("seed_id"))
 
 
+def merged_seeds(questions: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``seeds`` (question_id, seed_id) with the texts of ``questions`` merged: of title and background the longest, the first of
+    equally long ones by id; options once each whatever their case, as the first question has them, in that order; whether any
+    question bears a flag."""
+    q = questions.dropDuplicates(["question_id"]).select("question_id", "title", "background", "options", "flags").join(seeds.select("question_id", "seed_id"), "question_id")
+    longest = lambda c: F.min_by(c, F.struct(-F.coalesce(F.length(c), F.lit(-1)), "question_id")).alias(c)
+    texts = q.groupBy("seed_id").agg(F.count(F.lit(1)).alias("n"), longest("title"), longest("background"), F.bool_or(F.coalesce(F.size("flags") > 0, F.lit(False))).alias("flagged"))
+    told = q.select("seed_id", "question_id", F.posexplode("options").alias("pos", "option")).filter("option is not null")
+    once = told.groupBy("seed_id", F.lower("option").alias("as")).agg(F.min(F.struct("question_id", "pos", "option")).alias("o"))
+    options = once.groupBy("seed_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["option"]), "|").alias("options"))
+    return texts.join(options, "seed_id", "left").na.fill("", ["options"])
+
+
+def seed_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The seeds of ``seed_merge`` with their merged texts."""
+    return merged_seeds(table(spark, d, "questions"), Scratch(spark).keep(seed_merge(spark, d)))
+
+
 def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
     """Simulation dates in whatever form they were typed, and how they lie to the resolution date."""
     q = table(spark, d, "questions").dropDuplicates(["question_id"])
@@ -131,4 +149,5 @@ QUERIES = {
     "briefing_cache": (briefing_cache, BRIEFINGS),
     "latency_profile": (latency_profile, LATENCY),
     "seed_merge": (seed_merge, None),
+    "seed_texts": (seed_texts, None),
 }

@@ -1,12 +1,14 @@
 import random
 import statistics
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import brier_map_strict
 from hindcast.operators import scoring as S
-from hindcast.plans.evidence import filled, unseen
+from hindcast.plans.evidence import filled, merged, named_sources, unseen, voted_dates
+from hindcast.plans.upkeep import merged_seeds
 from hindcast.sources.files import append_keyed, read_or_none
 
 
@@ -68,3 +70,37 @@ def test_cache_and_template(spark, tmp_path):
     assert {tuple(r) for r in read_or_none(spark, path, schema).collect()} == {("a", 1), ("b", 3)}
     got = spark.createDataFrame([("x", None)], "p string, q string").select(filled("{p}-{q}-{r}", p=F.col("p"), q=F.col("q")).alias("t")).first().t
     assert got == "x--{r}"
+
+
+def test_records_of_a_cluster_merged(spark):
+    schema = (
+        "leader string, record_id string, event_date date, event_date_precision string, key_facts array<string>, topics array<string>, direct_quotes array<struct<quote:string,speaker:string>>,"
+        "sources array<struct<name:string,url:string>>, first int"
+    )
+    day = lambda n: date(2024, 1, n)
+    rows = [
+        ("a", "r2", day(2), "day", [" f", "g", None], ["Trade Talks"], [(" Yes ", "X"), ("no", None)], [("n", "https://b.org/1"), ("n", "https://a.org/2")], 1),
+        ("a", "r1", day(1), "day", ["f", ""], ["trade-talks", " x"], [("yes", None)], [("n", "https://a.org/2"), ("n", None)], 1),
+        ("a", "r3", day(2), "month", None, None, None, None, 1),
+        ("b", "r4", None, "day", None, None, None, [], 1),
+        ("c", "r5", day(5), "day", [], [], [], [("n", "host")], 1), ("c", "r6", day(5), "day", [], [], [], None, 1), ("d", "r7", day(3), "day", [], [], [], None, 1), ("d", "r8", day(4), "day", [], [], [], None, 1), ("d", "r9", day(4), "day", [], [], [], None, 1),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    m = {r.leader: tuple(r)[1:] for r in merged(df.drop("first"), ["leader"]).collect()}
+    assert m["a"] == (3, "r1", "f|g", "trade_talks|x", 2, 0) and m["b"] == (1, "r4", "", "", 0, 0)
+    assert {tuple(r) for r in voted_dates(df, ["leader"]).collect()} == {("a", day(1), "uncertain"), ("c", day(5), "high"), ("d", day(4), "medium")}
+    assert {tuple(r) for r in named_sources(df, ["leader"]).collect()} == {("a", "https://a.org/2|https://b.org/1", "a.org|b.org"), ("c", "host", "")}
+    assert merged(df.limit(0).drop("first"), ["leader"]).count() == voted_dates(df.limit(0), ["leader"]).count() == 0
+
+
+def test_seeds_merged(spark):
+    q = spark.createDataFrame(
+        [
+            ("q2", "long title", None, ["Yes", "Maybe"], ["f"]), ("q2", "long title", None, ["Yes", "Maybe"], ["f"]), ("q1", "same title", "b", ["yes", None, "No"], None), ("q3", None, None, None, []), ("q4", "lost", "x", [], []),
+        ], "question_id string, title string, background string, options array<string>, flags array<string>",
+    )
+    q = q.selectExpr("*", "'s' as seed_id", "0 as pos")
+    seeds = spark.createDataFrame([("q1", "q1"), ("q2", "q1"), ("q3", "q3")], "question_id string, seed_id string")
+    got = {tuple(r) for r in merged_seeds(q, seeds).select("seed_id", "n", "title", "background", "options", "flagged").collect()}
+    assert got == {("q1", 2, "same title", "b", "yes|No|Maybe", True), ("q3", 1, None, None, "", False)}
+    assert merged_seeds(q.limit(0), seeds).count() == 0

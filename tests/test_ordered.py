@@ -4,7 +4,7 @@ from datetime import date, timedelta
 
 import pytest
 
-from hindcast.functions.objects import first_object
+from hindcast.functions.objects import first_object, object_of
 from hindcast.operators.leaders import key_leaders, leader_clusters
 from hindcast.plans.ordered import bootstrap_ci, event_keys
 
@@ -73,11 +73,24 @@ def test_leaders_of_nothing(spark):
     [
         ('{"probability": 0.4}', ("strict", 0.4)), ('```json\n{"probability": 1}\n```', ("fenced", 1.0)), ('so {"probability": 0.2, "r": "a}\\"b"} end', ("balanced", 0.2)), ('{"probability": 0.3, "r": "cut', ("balanced", 0.3)),
         ("prose", ("none", None)), ("", (None, None)), (None, (None, None)), ("[1]", ("none", None)),
+        ('{bad {"probability": 0.5} {"p": 1}', ("inner", 0.5)), ('x {"a": {"probability": 1}, "probability": 2} {', ("balanced", 2.0)), ("{" * 5000, ("none", None)), ("[" * 100_000, ("none", None)),
+        ('{"probability": 1' + "0" * 400 + "}", ("strict", float("inf"))),
     ],
 )
 def test_objects(text, want):
     assert first_object(text) == want
 
 
+def test_objects_of_whole_texts_equal_the_search(spark):
+    bodies = ["0.4", "3", "true", '"0.4"', "null", "1e-3", "NaN", '{"probability": 1}', "[0.5]", "9" * 45, ".5"]
+    objects = ['{"probability": ' + b + "}" for b in bodies] + ['{"r": "a}", "probability": 0.25}', "{}", '{"a": 1, "a": 2}', '{"a": "x\ty"}', "{'a': 1}"]
+    ends = ["", " ", "\n", " x", "}", "]", "] }", "} ]", ', {"b": 2}', ' {"b": 2}', ', "b": 2', "\u00a0"]
+    texts = [o + e for o in objects for e in ends] + ["[1]", '"s"', "1", "null", '1, "o": {"probability": 1}', '{"probability": 1}, null', "", " ", None]
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, o int").select("text", object_of("text").alias("o"))
+    for r in rows.collect():
+        how, p = first_object(r.text)
+        assert (r.o.how, r.o.probability) == (how, pytest.approx(p) if p is not None else None), r.text
+
+
 def test_bootstrap_takes_as_many_draws_as_the_reference():
     assert inspect.signature(bootstrap_ci).parameters["draws"].default == 10_000
