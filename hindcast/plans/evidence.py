@@ -9,7 +9,7 @@ from hindcast.functions.scalars import netloc, normal_topics, words
 from hindcast.operators.leaders import key_leaders
 from hindcast.operators.overlap import overlap_pairs
 from hindcast.operators.retrieval import one_of_each
-from hindcast.plans.ordered import event_clusters
+from hindcast.plans.ordered import EVENTS_SQL, event_clusters
 from hindcast.plans.retrieval import EV, NORMAL, events
 from hindcast.plans.questions import Q, questions
 from hindcast.runtime import Scratch, table
@@ -208,14 +208,25 @@ def merged_clusters(spark: SparkSession, d: str) -> DataFrame:
     return merged(e, by).join(voted_dates(e, by), by, "left").join(named_sources(e, by), by, "left")
 
 
-MERGED = f"""WITH {EV}, e AS (SELECT *, actors[1] AS actor_id FROM ev WHERE actors[1] IS NOT NULL), b AS (SELECT actor_id, event_date, count(*) AS n, min(record_id) AS first FROM e GROUP BY 1, 2),
-    f AS (SELECT actor_id, event_date, string_agg(fact, '|' ORDER BY fact) AS facts FROM (SELECT DISTINCT actor_id, event_date, trim(x) AS fact FROM (SELECT actor_id, event_date, unnest(key_facts) AS x FROM e)) WHERE fact <> '' GROUP BY 1, 2),
-    t AS (SELECT actor_id, event_date, string_agg(topic, '|' ORDER BY topic) AS topics FROM (SELECT DISTINCT actor_id, event_date, unnest({NORMAL}) AS topic FROM e) GROUP BY 1, 2),
-    u AS (SELECT actor_id, event_date, record_id, unnest(direct_quotes) AS q, generate_subscripts(direct_quotes, 1) AS pos FROM e),
-    s AS (SELECT actor_id, event_date, lower(trim(q.quote)) AS said, q.speaker AS speaker FROM u WHERE lower(trim(q.quote)) <> '' QUALIFY row_number() OVER (PARTITION BY actor_id, event_date, lower(trim(q.quote)) ORDER BY record_id, pos) = 1),
-    k AS (SELECT actor_id, event_date, count(*) AS n_quotes, count(speaker) AS n_spoken FROM s GROUP BY 1, 2)
-    SELECT b.actor_id, b.event_date, n, first, coalesce(facts, '') AS facts, coalesce(topics, '') AS topics, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_spoken, 0) AS n_spoken
-    FROM b LEFT JOIN f USING (actor_id, event_date) LEFT JOIN t USING (actor_id, event_date) LEFT JOIN k USING (actor_id, event_date)"""
+def merged_sql(by: str) -> str:
+    """SQL of ``merged`` over a table e: the part behind WITH that ends in a table m."""
+    return f"""b AS (SELECT {by}, count(*) AS n, min(record_id) AS first FROM e GROUP BY ALL),
+    f AS (SELECT {by}, string_agg(fact, '|' ORDER BY fact) AS facts FROM (SELECT DISTINCT {by}, trim(x) AS fact FROM (SELECT {by}, unnest(key_facts) AS x FROM e)) WHERE fact <> '' GROUP BY {by}),
+    t AS (SELECT {by}, string_agg(topic, '|' ORDER BY topic) AS topics FROM (SELECT DISTINCT {by}, unnest({NORMAL}) AS topic FROM e) GROUP BY ALL),
+    u AS (SELECT {by}, record_id, unnest(direct_quotes) AS q, generate_subscripts(direct_quotes, 1) AS pos FROM e),
+    s AS (SELECT {by}, lower(trim(q.quote)) AS said, q.speaker AS speaker FROM u WHERE lower(trim(q.quote)) <> '' QUALIFY row_number() OVER (PARTITION BY {by}, lower(trim(q.quote)) ORDER BY record_id, pos) = 1),
+    k AS (SELECT {by}, count(*) AS n_quotes, count(speaker) AS n_spoken FROM s GROUP BY ALL),
+    m AS (SELECT {by}, n, first, coalesce(facts, '') AS facts, coalesce(topics, '') AS topics, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_spoken, 0) AS n_spoken
+    FROM b LEFT JOIN f USING ({by}) LEFT JOIN t USING ({by}) LEFT JOIN k USING ({by}))"""
+
+MERGED = f"WITH {EV}, e AS (SELECT *, actors[1] AS actor_id FROM ev WHERE actors[1] IS NOT NULL), {merged_sql('actor_id, event_date')} SELECT * FROM m"
+CLUSTERS = f"""WITH {EV}, c AS ({EVENTS_SQL}), e AS (SELECT * FROM ev JOIN c USING (record_id)), {merged_sql('leader')},
+    v AS (SELECT leader, event_date, count(*) AS n, min(record_id) AS first FROM e WHERE event_date_precision = 'day' AND event_date IS NOT NULL GROUP BY 1, 2),
+    w AS (SELECT leader, event_date, CASE WHEN n = total AND total >= 2 THEN 'high' WHEN n * 2 > total THEN 'medium' ELSE 'uncertain' END AS date_confidence
+      FROM (SELECT *, sum(n) OVER (PARTITION BY leader) AS total FROM v) QUALIFY row_number() OVER (PARTITION BY leader ORDER BY n DESC, first) = 1),
+    z AS (SELECT leader, src.url AS url, min({{'r': record_id, 'p': pos}}) AS place FROM (SELECT leader, record_id, unnest(sources) AS src, generate_subscripts(sources, 1) AS pos FROM e) WHERE src.url <> '' GROUP BY 1, 2),
+    y AS (SELECT leader, string_agg(url, '|' ORDER BY place) AS urls, string_agg(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '|' ORDER BY place) AS hosts FROM z GROUP BY 1)
+    SELECT * FROM m LEFT JOIN w USING (leader) LEFT JOIN y USING (leader)"""
 
 
 def unseen(candidates: DataFrame, existing: DataFrame, alike: float = 0.8) -> DataFrame:
@@ -268,6 +279,6 @@ QUERIES = {
     "domain_export": (domain_export, EXPORT),
     "canonical_actors": (canonical_actors, CANONICAL),
     "merged_records": (merged_records, MERGED),
-    "merged_clusters": (merged_clusters, None),
+    "merged_clusters": (merged_clusters, CLUSTERS),
     "new_records": (new_records, None),
 }

@@ -1,4 +1,4 @@
-"""Queries that SQL doesn't express: order-dependent folds, answer objects, resampling."""
+"""Order-dependent folds, answer objects, resampling; the folds' SQL scans all rows one by one against all pairs."""
 
 from __future__ import annotations
 
@@ -14,6 +14,38 @@ from hindcast.operators.retrieval import one_of_each
 from hindcast.runtime import Scratch, table
 
 
+WORDS = lambda c: f"list_sort(list_distinct(list_filter(regexp_split_to_array(lower({c}), '[\\s\\x0b\\x1c-\\x1f\\x85\\pZ]+'), lambda w: w <> '')))"
+
+
+def fold_sql(tables: str, node: str = "id", leader: str = "leader", cut: int = 1) -> str:
+    """SQL of the fold over nodes(id) and edges(a, b) with a < b, which ``tables`` define: a node goes to the least earlier leader it
+    matches, else leads.  Names begin at sign ``cut`` of the ids."""
+    return f"""WITH RECURSIVE {tables}, n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS i FROM (SELECT DISTINCT id FROM nodes WHERE id IS NOT NULL)),
+    e AS MATERIALIZED (SELECT y.i, list(DISTINCT x.i) AS earlier FROM edges JOIN n x ON x.id = a JOIN n y ON y.id = b GROUP BY 1), o AS MATERIALIZED (SELECT i, coalesce(earlier, []) AS earlier FROM n LEFT JOIN e USING (i)),
+    f AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, 0::BIGINT AS led UNION ALL
+      SELECT o.i, CASE WHEN list_has_any(kept, earlier) THEN kept ELSE list_append(kept, o.i) END, coalesce(list_min(list_intersect(kept, earlier)), o.i) FROM f JOIN o ON o.i = f.i + 1)
+    SELECT substr(x.id, {cut}) AS {node}, substr(y.id, {cut}) AS {leader} FROM f JOIN n x ON x.i = f.i JOIN n y ON y.i = f.led"""
+
+
+JUDGED = fold_sql(
+    """nodes AS (SELECT question_id AS id FROM questions), edges AS (SELECT least(question_a_id, question_b_id) AS a, greatest(question_a_id, question_b_id) AS b
+    FROM similarity_scores WHERE score >= 3 AND question_a_id <> question_b_id)""", "question_id",
+)
+
+
+def like_sql(table_name: str, column: str) -> str:
+    return fold_sql(
+        f"""t AS (SELECT DISTINCT {WORDS(column)} AS w FROM {table_name}), nodes AS (SELECT array_to_string(w, ' ') AS id, w FROM t WHERE len(w) > 0),
+    edges AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id < y.id AND len(list_intersect(x.w, y.w)) >= 0.8 * greatest(len(x.w), len(y.w)) - 1e-6)""", "key",
+    )
+
+
+EVENTS = f"""ev AS (SELECT * FROM event_records QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY ingestion_date) = 1), r AS (SELECT record_id AS id, event_date AS d, {WORDS('headline')} AS w, list_filter(topics, lambda t: t IS NOT NULL) AS topics FROM ev),
+    nodes AS (SELECT id FROM r), p AS (SELECT x.id AS a, y.id AS b, abs(x.d - y.d) AS apart, len(list_intersect(x.w, y.w)) AS common, greatest(len(x.w), len(y.w)) AS most, list_has_any(x.topics, y.topics) AS shared FROM r x JOIN r y ON x.id < y.id),
+    edges AS (SELECT a, b FROM p WHERE common > 0.75 * most OR apart <= 2 AND common > 0.5 * most OR apart = 0 AND shared)"""
+EVENTS_SQL = fold_sql(EVENTS, "record_id")
+
+
 def judged_leaders(spark: SparkSession, d: str) -> DataFrame:
     """Questions in order of id, each kept unless an earlier kept one was judged 3 or 4 with it."""
     pairs = table(spark, d, "similarity_scores").filter("score >= 3")
@@ -108,4 +140,9 @@ def significance(spark: SparkSession, d: str, draws: int = 10_000) -> DataFrame:
     return intervals.join(S.medians(deltas), ["a", "b"]).join(signs, ["a", "b"])
 
 
-QUERIES = {f.__name__: (f, None) for f in (judged_leaders, title_leaders, query_leaders, event_clusters, answer_objects, bootstrap_ci, significance)}
+QUERIES = {f.__name__: (f, None) for f in (answer_objects, bootstrap_ci, significance)} | {
+    "judged_leaders": (judged_leaders, JUDGED),
+    "title_leaders": (title_leaders, like_sql("questions", "title")),
+    "query_leaders": (query_leaders, like_sql("retrieval_requests", "query")),
+    "event_clusters": (event_clusters, EVENTS_SQL),
+}

@@ -9,6 +9,7 @@ from hindcast.functions.scalars import any_date, host, iso_date, r6, words
 from hindcast.operators.leaders import leader_clusters
 from hindcast.operators.overlap import overlap_pairs
 from hindcast.operators.retrieval import one_of_each
+from hindcast.plans.ordered import WORDS, fold_sql
 from hindcast.runtime import Scratch, table
 
 Q = "qq AS (SELECT * FROM questions QUALIFY row_number() OVER (PARTITION BY question_id) = 1)"
@@ -112,6 +113,12 @@ def seed_merge(spark: SparkSession, d: str, days: int = 3, alike: float = 0.5) -
     return led.select(F.substring("key", 12, 1000).alias("question_id"), F.substring("leader", 12, 1000).alias("seed_id"))
 
 
+SEEDS = f"""{Q}, s AS (SELECT question_id, coalesce(domain, 'unknown') AS domain, {WORDS('title')} AS w, CAST(try_strptime(simulation_date, '%Y-%m-%d') AS DATE) AS d FROM qq),
+    nodes AS (SELECT coalesce(strftime(d, '%Y-%m-%d'), '9999-99-99') || ' ' || question_id AS id, * FROM s),
+    edges AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id < y.id AND x.domain = y.domain AND abs(x.d - y.d) <= 3 AND len(x.w) > 0 AND len(list_intersect(x.w, y.w)) >= 0.5 * greatest(len(x.w), len(y.w)) - 1e-6)"""
+SEED_SQL = fold_sql(SEEDS, "question_id", "seed_id", cut=12)
+
+
 def merged_seeds(questions: DataFrame, seeds: DataFrame) -> DataFrame:
     """``seeds`` (question_id, seed_id) with the texts of ``questions`` merged: of title and background the longest, the first of
     equally long ones by id; options once each whatever their case, as the first question has them, in that order; whether any
@@ -130,6 +137,14 @@ def seed_texts(spark: SparkSession, d: str) -> DataFrame:
     return merged_seeds(table(spark, d, "questions"), Scratch(spark).keep(seed_merge(spark, d)))
 
 
+SEED_TEXTS = f"""WITH g AS ({SEED_SQL}), x AS (SELECT g.seed_id, q.* EXCLUDE (seed_id) FROM (SELECT * FROM questions QUALIFY row_number() OVER (PARTITION BY question_id) = 1) q JOIN g USING (question_id)),
+    t AS (SELECT seed_id, count(*) AS n, min({{'n': -coalesce(length(title), -1), 'q': question_id, 't': title}}).t AS title, min({{'n': -coalesce(length(background), -1), 'q': question_id, 't': background}}).t AS background,
+      bool_or(coalesce(len(flags) > 0, false)) AS flagged FROM x GROUP BY 1),
+    o AS (SELECT seed_id, min({{'q': question_id, 'p': pos, 'o': o}}) AS told FROM (SELECT seed_id, question_id, unnest(options) AS o, generate_subscripts(options, 1) AS pos FROM x) WHERE o IS NOT NULL GROUP BY 1, lower(o)),
+    l AS (SELECT seed_id, string_agg(told.o, '|' ORDER BY told) AS options FROM o GROUP BY 1)
+    SELECT seed_id, n, title, background, flagged, coalesce(options, '') AS options FROM t LEFT JOIN l USING (seed_id)"""
+
+
 def parsed_dates(spark: SparkSession, d: str) -> DataFrame:
     """Simulation dates in whatever form they were typed, and how they lie to the resolution date."""
     q = table(spark, d, "questions").dropDuplicates(["question_id"])
@@ -148,6 +163,6 @@ QUERIES = {
     "retention": (retention, RETENTION),
     "briefing_cache": (briefing_cache, BRIEFINGS),
     "latency_profile": (latency_profile, LATENCY),
-    "seed_merge": (seed_merge, None),
-    "seed_texts": (seed_texts, None),
+    "seed_merge": (seed_merge, SEED_SQL),
+    "seed_texts": (seed_texts, SEED_TEXTS),
 }
