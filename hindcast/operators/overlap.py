@@ -5,30 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.runtime import Scratch
+
 SLACK = 1e-9
+#: Words of the shorter text up to which a pair meets in two words, if it must share two; a longer text has too many pairs of words.
+TWO = 48
+
+
+def prefix_keys(least: float) -> str:
+    """SQL of the join keys of a text ``w`` (words in order of rarity) in block ``block``: structs of ``at`` and ``skip``.
+
+    A pair meets in k words, k by the size of its shorter text, so a text has keys for each size that the shorter can have.
+    Texts alike share k of each other's first ``n - ceil(n * least) + k`` words.  ``skip`` has the words before the key's last
+    one that are not in the key: two texts meet in their first common words only where these lists have nothing in common.
+    """
+    need = lambda n: f"int(ceil({n} * {least!r}D - {SLACK!r}D))"
+    level = f"array_distinct(transform(sequence({need('size(w)')}, size(w)), m -> IF(m <= {TWO} AND {need('m')} >= 2, 2, 1)))"
+    first = f"(size(w) - {need('size(w)')} + 1)"
+    one = f"transform(sequence(1, {first}), i -> named_struct('at', xxhash64(block, w[i - 1]), 'skip', slice(w, 1, i - 1)))"
+    two = f"""flatten(transform(sequence(1, {first}), i -> transform(sequence(i + 1, {first} + 1), j ->
+        named_struct('at', xxhash64(block, w[i - 1], w[j - 1]), 'skip', concat(slice(w, 1, i - 1), slice(w, i + 1, j - i - 1))))))"""
+    return f"flatten(transform({level}, k -> IF(k = 2, {two}, {one})))"
 
 
 def overlap_pairs(items: DataFrame, least: float) -> DataFrame:
     """``a < b, words_a, words_b, share``: pairs of items that share at least ``least`` of the words of the longer one.
 
     ``items``: ``key`` (unique), ``words`` (distinct words), ``here`` (its block) and ``near`` (blocks in which it may find
-    partners, its own among them).  With words in order of rarity, texts that are alike share one of each other's first
-    ``n - ceil(n * least) + 1`` words, so only those are join keys; texts whose
-    sizes differ too much are dropped where they meet, other candidates are verified on all words.  Items without words
+    partners; of the items of one block, all have it among these or none).  With words in order of rarity, texts that are alike
+    share the first of their words, so only these, two at a time, are join keys.  Rows carry the words as numbers and are
+    verified where they meet: sizes first, then 128 bits that differ in no more places than there are different words, then
+    the words themselves.  A pair leaves only from its first common words, as two numbers and the share.  Items without words
     or with nulls are in no pair.
     """
-    ready = items.dropna().filter("size(words) > 0")
-    long = ready.select("key", F.explode("words").alias("word"))
-    counts = long.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    ordered = long.join(counts, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("o"))
-    size = F.size("o")
-    heads = ordered.select("key", size.alias("n"), F.explode(F.slice("o", F.lit(1), size - F.ceil(size * least - SLACK).cast("int") + 1)).alias("w")).select("key", "n", "w.word")
-    placed = heads.join(ready.select("key", "here", "near"), "key")
-    left = placed.select("word", F.col("here").alias("block"), F.col("key").alias("a"), F.col("n").alias("n_a"))
-    right = placed.select("word", F.explode("near").alias("block"), F.col("key").alias("b"), F.col("n").alias("n_b"))
-    near_size = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - SLACK
-    pairs = left.join(right, ["word", "block"]).filter(near_size & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    texts = ready.select("key", "words")
-    met = pairs.join(texts.select(F.col("key").alias("a"), F.col("words").alias("words_a")), "a").join(texts.select(F.col("key").alias("b"), F.col("words").alias("words_b")), "b")
-    share = F.size(F.array_intersect("words_a", "words_b")) / F.greatest(F.size("words_a"), F.size("words_b"))
-    return met.withColumn("share", share).filter(F.col("share") >= least - SLACK)
+    scratch = Scratch(items.sparkSession)
+    ready = scratch.keep(items.dropna().filter("size(words) > 0").withColumn("id", F.monotonically_increasing_id()))
+    long = ready.select("id", F.explode("words").alias("word"))
+    codes = scratch.keep(long.groupBy("word").agg(F.count(F.lit(1)).alias("n")).withColumn("code", F.monotonically_increasing_id()))
+    ordered = long.join(codes, "word").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda x: x["code"]).alias("w"))
+    bits = lambda half: F.expr(f"aggregate(filter(w, x -> pmod(xxhash64(x), 128) div 64 = {half}), 0L, (b, x) -> b | shiftleft(1L, int(pmod(xxhash64(x), 64))))").alias(f"bits{half}")
+    texts = scratch.keep(ordered.select("id", "w", bits(0), bits(1)).join(ready.select("id", "here", "near"), "id"))
+    carried = ["id", "w", "bits0", "bits1"]
+    rows = lambda df, *more: df.select(*carried, *more, F.explode(F.expr(prefix_keys(least))).alias("k")).select(*carried, *more, "k.at", "k.skip")
+    left = rows(texts.withColumn("block", F.col("here")))
+    right = rows(texts.withColumn("block", F.explode("near")).withColumn("home", F.col("block") == F.col("here")), "home")
+    longer = "greatest(size(l.w), size(r.w))"
+    met = left.alias("l").join(
+        right.alias("r"),
+        F.expr(f"""l.at = r.at AND IF(r.home, l.id < r.id, l.id <> r.id) AND least(size(l.w), size(r.w)) >= {least!r}D * {longer} - {SLACK!r}D
+        AND bit_count(l.bits0 ^ r.bits0) + bit_count(l.bits1 ^ r.bits1) <= size(l.w) + size(r.w) - 2 * ceil({least!r}D * {longer} - {SLACK!r}D)
+        AND NOT arrays_overlap(l.skip, r.skip) AND size(array_intersect(l.w, r.w)) >= {least!r}D * {longer} - {SLACK!r}D"""),
+    )
+    share = F.expr(f"size(array_intersect(l.w, r.w)) / {longer}").alias("share")
+    pairs = met.select(F.least("l.id", "r.id").alias("x"), F.greatest("l.id", "r.id").alias("y"), share).repartition("x").dropDuplicates(["x", "y"])
+    side = lambda i, n: ready.select(F.col("id").alias(i), F.col("key").alias(f"key_{n}"), F.col("words").alias(f"words_{n}"))
+    named = pairs.join(side("x", "x"), "x").join(side("y", "y"), "y")
+    turned = F.col("key_x") > F.col("key_y")
+    pick = lambda c, d: F.when(turned, F.col(d)).otherwise(F.col(c))
+    return named.select(pick("key_x", "key_y").alias("a"), pick("key_y", "key_x").alias("b"), pick("words_x", "words_y").alias("words_a"), pick("words_y", "words_x").alias("words_b"), "share")

@@ -18,3 +18,25 @@ def test_pairs_equal_brute_force(spark, least):
                 want.add((x[0], y[0]))
     assert {(r.a, r.b) for r in overlap_pairs(df, least).collect()} == want
     assert overlap_pairs(df.limit(0), least).count() == 0
+
+
+def shuffled(plan):
+    """Rows that the exchanges of an executed plan have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_candidates_that_fail_are_not_shuffled(spark):
+    rng = random.Random(9)
+    texts = {tuple(sorted({"in", "of", "over", "stalls", *(f"w{rng.randrange(60)}" for _ in range(6))})) for _ in range(1200)}
+    rows = [(f"k{i:04}", list(t), 0, [0]) for i, t in enumerate(sorted(texts))]
+    pairs = overlap_pairs(spark.createDataFrame(rows, "key string, words array<string>, here int, near array<int>"), 0.8).select("a", "b")
+    found = len(pairs.collect())
+    want = sum(len(set(x[1]) & set(y[1])) / max(len(x[1]), len(y[1])) >= 0.8 - 1e-9 for i, x in enumerate(rows) for y in rows[i + 1 :])
+    assert found == want > 0
+    assert shuffled(pairs._jdf.queryExecution().executedPlan()) < 25 * len(rows) + 4 * found
