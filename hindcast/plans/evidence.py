@@ -242,8 +242,9 @@ def unseen(candidates: DataFrame, existing: DataFrame, alike: float = 0.8) -> Da
     fresh = candidates.join(url(candidates).join(known, "url", "left_semi").select("id").distinct(), "id", "left_anti")
     bag = lambda df, old: df.select("id", F.array_sort(F.array_distinct(words("title"))).alias("words"), F.lit(old).alias("old")).filter("size(words) > 0")
     titled = scratch.keep(bag(fresh, 0).unionByName(bag(existing, 1)))
-    texts = titled.groupBy("words").agg(F.max("old").alias("old")).withColumn("key", F.array_join("words", " "))
-    edges = scratch.keep(overlap_pairs(texts.select("key", "words", F.lit(0).alias("here"), F.array(F.lit(0)).alias("near")), alike).select("a", "b"))
+    texts = scratch.keep(titled.groupBy("words").agg(F.max("old").alias("old")).withColumn("key", F.array_join("words", " ")))
+    near = F.when(F.col("old") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array().cast("array<int>"))  # no pairs of two old texts
+    edges = scratch.keep(overlap_pairs(texts.select("key", "words", F.col("old").alias("here"), near.alias("near")), alike).select("a", "b"))
     old = texts.filter("old = 1").select("key")
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near_old = both.join(old.withColumnRenamed("key", "b"), "b", "left_semi").select(F.col("a").alias("key")).unionByName(old).distinct()

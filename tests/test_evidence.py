@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from hindcast.functions.scalars import brier_map_strict
 from hindcast.operators import scoring as S
+from hindcast.operators.overlap import overlap_pairs
+from hindcast.plans import evidence
 from hindcast.plans.evidence import filled, merged, named_sources, unseen, voted_dates
 from hindcast.plans.upkeep import merged_seeds
 from hindcast.sources.files import append_keyed, read_or_none
@@ -104,3 +106,13 @@ def test_seeds_merged(spark):
     got = {tuple(r) for r in merged_seeds(q, seeds).select("seed_id", "n", "title", "background", "options", "flagged").collect()}
     assert got == {("q1", 2, "same title", "b", "yes|No|Maybe", True), ("q3", 1, None, None, "", False)}
     assert merged_seeds(q.limit(0), seeds).count() == 0
+
+
+def test_unseen_builds_no_pairs_of_old_titles(spark, monkeypatch):
+    found = []
+    monkeypatch.setattr(evidence, "overlap_pairs", lambda items, least: found.append(overlap_pairs(items, least)) or found[0])
+    old = [(f"o{i:02}", f"one two three four five six seven eight nine w{i}", [f"u{i}"]) for i in range(30)]
+    new = [("c0", "quite another title", []), ("c1", "one two three four five six seven eight nine ten", []), ("c2", "quite another title", ["v"])]
+    df = lambda rows: spark.createDataFrame(rows, "id string, title string, urls array<string>")
+    assert [r.id for r in unseen(df(new), df(old)).collect()] == ["c0"]
+    assert found[0].count() == 30
