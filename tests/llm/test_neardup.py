@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 
@@ -96,3 +97,26 @@ def test_short_texts_of_common_words(spark):
     live = {i: t for _, i, t in rows}
     want = {(a, b) for a in live for b in live if a < b and share(live[a], live[b]) >= 0.65}
     assert {tuple(r) for r in near_duplicate_pairs(df, "kind", "id", "text").collect()} == want
+
+
+def test_texts_that_share_a_band_by_chance_are_dropped_where_they_meet(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    apart = lambda m, n: m ^ sum(int(rng.integers(1, 4)) << 2 * int(t) for t in rng.permutation(32)[:n])
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    one = int(rng.integers(1 << 62)) * 4 + 3
+    rows = [(1, 10, one), (1, 11, apart(one, 13)), (1, 12, apart(one, 14)), (1, 13, one), (2, 10, one), (2, 14, one)]
+    df = spark.createDataFrame([(k, u, signed(m)) for k, u, m in rows], "key long, uid long, mark long")
+    unlike = lambda x, y: sum((x ^ y) >> 2 * t & 3 > 0 for t in range(32))
+    want = {(a, b) for k, a, x in rows for q, b, y in rows if k == q and a < b and unlike(x, y) <= 13}
+    assert {(10, 11), (10, 13), (10, 14)} <= want and (10, 12) not in want
+    for band in (64, 2):
+        monkeypatch.setattr(neardup, "BAND", band)
+        assert {tuple(r) for r in candidates(df, 3, Scratch(spark)).collect()} == want
+
+
+def test_marks_lose_no_pair():
+    unmarked = lambda j, bands: (1 - j**6) ** bands
+    for j in np.arange(0.6, 1.0, 0.01):
+        same = j + (1 - j) / 4
+        passed = sum(math.comb(32, k) * same**k * (1 - same) ** (32 - k) for k in range(neardup.MARK_LEAST, 33))
+        assert (1 - j**6 * passed) ** neardup.BANDS <= unmarked(j, 60)
