@@ -6,7 +6,7 @@ import pytest
 
 from hindcast.functions.objects import first_object, object_of
 from hindcast.operators.leaders import key_leaders, leader_clusters
-from hindcast.plans.ordered import bootstrap_ci, event_keys
+from hindcast.plans.ordered import bootstrap_ci, event_keys, text_leaders
 
 
 def fold(nodes, edges):
@@ -94,3 +94,11 @@ def test_objects_of_whole_texts_equal_the_search(spark):
 
 def test_bootstrap_takes_as_many_draws_as_the_reference():
     assert inspect.signature(bootstrap_ci).parameters["draws"].default == 10_000
+
+
+def test_text_leaders_equal_the_fold(spark):
+    rng = random.Random(4)
+    texts = {" ".join(sorted({"in", "of", "stalls", "as", *(f"w{rng.randrange(12)}" for _ in range(6))})) for _ in range(80)}
+    like = lambda a, b: len(set(a.split()) & set(b.split())) >= 0.8 * max(len(a.split()), len(b.split())) - 1e-9
+    got = {r.key: r.leader for r in text_leaders(spark.createDataFrame([(t,) for t in texts], "title string"), "title").collect()}
+    assert got == fold(texts, [(a, b) for a in texts for b in texts if a < b and like(a, b)])
