@@ -7,6 +7,7 @@ import pytest
 from hindcast.functions.objects import first_object, object_of
 from hindcast.operators.leaders import key_leaders, leader_clusters
 from hindcast.plans.ordered import bootstrap_ci, event_keys, text_leaders
+from hindcast.runtime import Scratch
 
 
 def fold(nodes, edges):
@@ -102,3 +103,20 @@ def test_text_leaders_equal_the_fold(spark):
     like = lambda a, b: len(set(a.split()) & set(b.split())) >= 0.8 * max(len(a.split()), len(b.split())) - 1e-9
     got = {r.key: r.leader for r in text_leaders(spark.createDataFrame([(t,) for t in texts], "title string"), "title").collect()}
     assert got == fold(texts, [(a, b) for a in texts for b in texts if a < b and like(a, b)])
+
+
+def test_pairs_of_alike_texts_are_not_written(spark, monkeypatch):
+    keep, rows = Scratch.keep, []
+
+    def counted(self, df):
+        kept = keep(self, df)
+        rows.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    texts = [f"brokers in stalls over text while under {word} w{i:03}" for word in ("floor", "grant") for i in range(100)]
+    got = {r.key: r.leader for r in text_leaders(spark.createDataFrame([(t,) for t in texts + texts[:9] + [None, " "]], "title string"), "title").collect()}
+    keys = [" ".join(sorted(t.split())) for t in texts]
+    like = [(a, b) for a in keys for b in keys if a < b and len(set(a.split()) & set(b.split())) >= 8]
+    assert got == fold(keys, like) and len(like) == 9900 + 100
+    assert max(rows) <= 2 * len(texts)

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from hindcast.operators.overlap import overlap_pairs
+from hindcast.operators.overlap import overlap_leaders, overlap_pairs
 
 
 @pytest.mark.parametrize("least", [0.5, 0.8])
@@ -40,3 +40,20 @@ def test_candidates_that_fail_are_not_shuffled(spark):
     want = sum(len(set(x[1]) & set(y[1])) / max(len(x[1]), len(y[1])) >= 0.8 - 1e-9 for i, x in enumerate(rows) for y in rows[i + 1 :])
     assert found == want > 0
     assert shuffled(pairs._jdf.queryExecution().executedPlan()) < 25 * len(rows) + 4 * found
+
+
+@pytest.mark.parametrize("least,seed", [(0.5, 1), (0.5, 2), (0.8, 3)])
+def test_leaders_equal_the_fold(spark, least, seed):
+    rng = random.Random(seed)
+    rows = [(3 * i, sorted({f"w{int(rng.random() ** 2 * 14)}" for _ in range(rng.randint(1, 8))})) for i in range(90)]
+    alike = lambda x, y: len(set(x) & set(y)) / max(len(x), len(y)) >= least - 1e-9
+    kept, want = [], {}
+    for i, w in rows:
+        first = next((j for j, v in kept if alike(v, w)), None)
+        if first is None:
+            kept.append((i, w))
+        else:
+            want[i] = first
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+    assert {r.id: r.leader for r in overlap_leaders(df, least).collect()} == want and len(want) > 10
+    assert overlap_leaders(df.limit(0), least).count() == 0
