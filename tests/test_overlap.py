@@ -42,6 +42,26 @@ def test_candidates_that_fail_are_not_shuffled(spark):
     assert shuffled(pairs._jdf.queryExecution().executedPlan()) < 25 * len(rows) + 4 * found
 
 
+def broadcast(plan):
+    """Bytes of each broadcast of an executed plan."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return broadcast(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return broadcast(plan.plan())
+    own = [plan.metrics().apply("dataSize").value()] if kind == "BroadcastExchangeExec" else []
+    return own + [b for i in range(plan.children().size()) for b in broadcast(plan.children().apply(i))]
+
+
+def test_keys_are_not_broadcast(spark):
+    rng = random.Random(10)
+    texts = {tuple(sorted({"in", "of", *(f"w{rng.randrange(300)}" for _ in range(9))})) for _ in range(3000)}
+    rows = [(f"k{i:04}", list(t), 0, [0]) for i, t in enumerate(sorted(texts))]
+    pairs = overlap_pairs(spark.createDataFrame(rows, "key string, words array<string>, here int, near array<int>"), 0.6)
+    pairs.collect()
+    assert sum(broadcast(pairs._jdf.queryExecution().executedPlan())) < 3000 * len(rows)
+
+
 @pytest.mark.parametrize("least,seed", [(0.5, 1), (0.5, 2), (0.8, 3)])
 def test_leaders_equal_the_fold(spark, least, seed):
     rng = random.Random(seed)
