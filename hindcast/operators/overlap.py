@@ -60,7 +60,8 @@ def overlap_pairs(items: DataFrame, least: float) -> DataFrame:
     verified where they meet: sizes first, then 128 bits that differ in no more places than there are different words, then
     the words themselves.  A pair leaves only from its first common words, as two numbers and the share.  Items without words
     or with nulls are in no pair.  The join is a merge join by hint: Spark's estimate of a side's size leaves out
-    that its rows are exploded from ``texts``, so it would broadcast millions of keys.
+    that its rows are exploded from ``texts``, so it would broadcast millions of keys.  Where all items look for partners in
+    their own block only, both sides are the same rows, which Spark shuffles once.
     """
     scratch = Scratch(items.sparkSession)
     ready = scratch.keep(items.dropna().filter("size(words) > 0").withColumn("id", F.monotonically_increasing_id()))
@@ -68,8 +69,11 @@ def overlap_pairs(items: DataFrame, least: float) -> DataFrame:
     carried = ["id", "w", "bits0", "bits1"]
     rows = lambda df, *more: df.select(*carried, *more, F.explode(F.expr(prefix_keys(least))).alias("k")).select(*carried, *more, "k.at", "k.skip")
     left = rows(texts.withColumn("block", F.col("here")))
-    right = rows(texts.withColumn("block", F.explode("near")).withColumn("home", F.col("block") == F.col("here")), "home")
-    met = left.alias("l").join(right.alias("r").hint("merge"), F.expr(f"l.at = r.at AND IF(r.home, l.id < r.id, l.id <> r.id) AND {near_enough(least)} AND NOT arrays_overlap(l.skip, r.skip) AND {shared(least)}"))
+    if ready.filter("NOT near <=> array(here)").isEmpty():
+        right, order = left, "l.id < r.id"
+    else:
+        right, order = rows(texts.withColumn("block", F.explode("near")).withColumn("home", F.col("block") == F.col("here")), "home"), "IF(r.home, l.id < r.id, l.id <> r.id)"
+    met = left.alias("l").join(right.alias("r").hint("merge"), F.expr(f"l.at = r.at AND {order} AND {near_enough(least)} AND NOT arrays_overlap(l.skip, r.skip) AND {shared(least)}"))
     share = F.expr("size(array_intersect(l.w, r.w)) / greatest(size(l.w), size(r.w))").alias("share")
     pairs = met.select(F.least("l.id", "r.id").alias("x"), F.greatest("l.id", "r.id").alias("y"), share).repartition("x").dropDuplicates(["x", "y"])
     side = lambda i, n: ready.select(F.col("id").alias(i), F.col("key").alias(f"key_{n}"), F.col("words").alias(f"words_{n}"))

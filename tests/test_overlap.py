@@ -62,6 +62,16 @@ def test_keys_are_not_broadcast(spark):
     assert sum(broadcast(pairs._jdf.queryExecution().executedPlan())) < 3000 * len(rows)
 
 
+def test_keys_of_one_block_are_shuffled_once(spark):
+    rng = random.Random(11)
+    texts = sorted({tuple(sorted(rng.sample(range(100, 150), 10))) for _ in range(1200)} | {tuple(range(200, 210)), tuple(range(201, 211))})
+    rows = [(f"k{i:04}", [str(w) for w in t], 0, [0]) for i, t in enumerate(texts)]
+    pairs = overlap_pairs(spark.createDataFrame(rows, "key string, words array<string>, here int, near array<int>"), 0.8).select("a", "b")
+    found = len(pairs.collect())
+    assert found == sum(len({*x[1]} & {*y[1]}) >= 8 for i, x in enumerate(rows) for y in rows[i + 1 :]) > 0
+    assert 6 * len(rows) <= shuffled(pairs._jdf.queryExecution().executedPlan()) < 9 * len(rows) + 4 * found  # a text has 6 keys
+
+
 @pytest.mark.parametrize("least,seed", [(0.5, 1), (0.5, 2), (0.8, 3)])
 def test_leaders_equal_the_fold(spark, least, seed):
     rng = random.Random(seed)
